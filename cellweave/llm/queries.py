@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from cellweave.llm import queries_simhash, queries_substring
+from cellweave.llm import queries_repetition, queries_simhash, queries_substring
 
-_MODULES = (queries_substring, queries_simhash)
+_MODULES = (queries_substring, queries_repetition, queries_simhash)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
