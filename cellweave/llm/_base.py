@@ -38,10 +38,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (file bytes for a scan); costs no job."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size))
+def input_bytes(df: DataFrame, text: str = "text") -> int:
+    """Catalyst's size estimate of a plan (file bytes for a scan), without a job.
+
+    A plan that has no estimate, such as rows made by the driver, is measured.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 1 << 56:
+        return size
+    from pyspark.sql import functions as F
+
+    return int(df.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0)
 
 
 def as_bytes(column: pa.Array) -> list:
