@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from cellweave.llm import queries_repetition, queries_simhash, queries_substring, queries_tokens
+from cellweave.llm import queries_mixing, queries_repetition, queries_simhash, queries_substring, queries_tokens
 
-_MODULES = (queries_substring, queries_repetition, queries_tokens, queries_simhash)
+_MODULES = (queries_substring, queries_repetition, queries_tokens, queries_simhash, queries_mixing)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
