@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from cellweave.llm import queries_mixing, queries_pii, queries_repetition, queries_simhash, queries_substring, queries_tokens
+from cellweave.llm import queries_mixing, queries_pii, queries_products, queries_repetition, queries_simhash, queries_substring, queries_tokens, queries_urls
 
-_MODULES = (queries_substring, queries_repetition, queries_tokens, queries_simhash, queries_mixing, queries_pii)
+_MODULES = (queries_substring, queries_repetition, queries_tokens, queries_urls, queries_simhash, queries_mixing, queries_products, queries_pii)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
