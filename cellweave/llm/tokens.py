@@ -4,12 +4,13 @@ A text is cut only where its tokenizer is bound to cut as well, each distinct
 piece is encoded once, and ids are gathered by array indexing:
 
 * byte-level BPE without a normalizer, prefix space or other pre-tokenizer:
-  before the first character of a run of white space that follows another
-  character (a run never joins the token before it);
+  before a space that follows another character than white space (such a
+  space, or the run it begins, never joins the token before it);
 * tokenizers that drop white space: at ASCII white space;
 * any other tokenizer: nowhere.
 
-Texts that hold other white space characters are encoded in one piece.
+Texts that hold other white space characters, or for byte-level BPE a space
+after white space, are encoded in one piece.
 """
 
 from __future__ import annotations
@@ -20,14 +21,15 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from cellweave.llm._base import expand
 
 #: White space outside 0x20 and 0x09-0x0D.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-_SPACES = b" \t\n\r\x0b\x0c"
+_TO_SPACE = bytes(32 if b in b"\t\n\r\x0b\x0c" else b for b in range(256))
 #: Cached pieces in each of two generations; an older one is dropped as a whole.
-CACHE = 200_000
+CACHE = 400_000
 
 
 def cut_rule(path: str) -> str:
@@ -56,69 +58,114 @@ class Encoder:
         self.rule = cut_rule(path)
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-
-    def _pieces(self, text: bytes) -> list:
-        if self.rule == "whole" or (not text.isascii() and _OTHER_SPACE.search(text.decode("utf-8", "replace"))) or re.search(rb"[\x1c-\x1f]", text):
-            return [text]
-        if self.rule == "word":
-            return text.split()
-        parts = text.split(b" ")
-        if b"" in parts or any(p[-1] in _SPACES for p in parts):
-            out: list = []
-            open_ = False  # the part before ends in white space, so the cut is not at the start of the run
-            for k, part in enumerate(parts):
-                if open_:
-                    out[-1] += b" " + part
-                else:
-                    out.append(part if not k else b" " + part)
-                open_ = not part or part[-1] in _SPACES
-            return out
-        return [parts[0], *[b" " + p for p in parts[1:]]]
-
-    def _encode(self, distinct: list) -> list:
+        if self.rule == "space":
+            # A byte-level token is as many bytes long as its name has characters.
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            for token, number in vocabulary.items():
+                self.width[number] = len(token)
+
+    def _odd(self, text: bytes) -> bool:
+        """Whether a text needs more care than a cut before each space (at each, for words)."""
+        if self.rule == "whole" or b"\xff" in text:
+            return True
+        if not text.isascii() and _OTHER_SPACE.search(text.decode("utf-8", "replace")):
+            return True
+        if any(c in text for c in (b"\x1c", b"\x1d", b"\x1e", b"\x1f")):
+            return True
+        return self.rule == "space" and any(c in text for c in (b"  ", b"\n ", b"\t ", b"\r ", b"\x0b ", b"\x0c "))
+
+    def _together(self, pieces: list) -> list:
+        """The ids of new pieces, encoded side by side in longer texts."""
+        out: list = []
+        for start in range(0, len(pieces), 256):
+            part = [p.decode("utf-8", "replace") for p in pieces[start : start + 256]]
+            if self.rule == "space":
+                ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, np.uint32)
+                ends = np.cumsum([len(p.encode()) for p in part])
+                cuts = np.searchsorted(np.cumsum(self.width[ids]), ends, side="right")
+            else:
+                made = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+                ids = np.array(made.ids, np.uint32)
+                begins = np.array([a for a, _ in made.offsets], np.int64)
+                cuts = np.searchsorted(begins, np.cumsum([len(p) + 1 for p in part]), side="left")
+            body, last = ids.tobytes(), 0
+            for cut in (cuts * 4).tolist():
+                out.append(body[last:cut])
+                last = cut
+        return out
+
+    def _lookup(self, keys: list) -> list:
         """The ids of each distinct piece as bytes of unsigned 32-bit integers."""
         young, old = self.young, self.old
-        found = [young.get(p) for p in distinct]
+        found = [young.get(p) for p in keys]
         missing = []
         for i, ids in enumerate(found):
             if ids is None:
-                ids = old.get(distinct[i])
+                ids = old.get(keys[i])
                 if ids is None:
                     missing.append(i)
                 else:
-                    found[i] = young[distinct[i]] = ids
+                    found[i] = young[keys[i]] = ids
         if missing:
-            texts = [distinct[i].decode("utf-8", "replace") for i in missing]
-            for i, e in zip(missing, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
-                found[i] = np.array(e.ids, np.uint32).tobytes()
-                if len(distinct[i]) <= 64:
-                    young[distinct[i]] = found[i]
+            for i, ids in zip(missing, self._together([keys[i] for i in missing])):
+                found[i] = ids
+                if len(keys[i]) <= 64:
+                    young[keys[i]] = ids
         if len(young) > CACHE:
             self.old, self.young = young, {}
         return found
 
+    def _whole(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32).tobytes()
+
     def encode(self, texts: list, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds): all ids in one array, each text's followed by `end`; None counts as empty."""
-        pieces: list = []
-        ends = np.zeros(len(texts), np.int64)
+        plain: list = []
         for i, text in enumerate(texts):
-            if text:
-                pieces += self._pieces(text)
-            pieces.append(None)
-            ends[i] = len(pieces)
-        coded = pa.array(pieces, pa.large_binary()).dictionary_encode(null_encoding="encode")
+            if not text:
+                plain.append(b"")
+            elif self._odd(text):
+                plain.append(b"\xff%d" % i)
+            else:
+                plain.append(text.translate(_TO_SPACE) if self.rule == "word" else text)
+        parts = pc.split_pattern(pa.array(plain, pa.large_binary()), b" ")
+        del plain
+        bounds = parts.offsets.to_numpy()
+        coded = parts.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        at = distinct.index(None) if None in distinct else -1
-        found = self._encode([p for p in distinct if p is not None])
-        if at >= 0:
-            found.insert(at, np.array([end], np.uint32).tobytes())
+        number = coded.indices.to_numpy(zero_copy_only=False).copy()
+        lead = b" " if self.rule == "space" else b""
+        usual = [i for i, p in enumerate(distinct) if p[:1] != b"\xff"]
+        found: list = [b""] * len(distinct)
+        for i, ids in zip(usual, self._lookup([lead + distinct[i] for i in usual]) if usual else []):
+            found[i] = ids
+        if self.rule == "word":
+            found = [b"" if not p else ids for p, ids in zip(distinct, found)]
+        for i, p in enumerate(distinct):
+            if p[:1] == b"\xff":
+                found[i] = self._whole(texts[int(p[1:])])
+        if lead and len(bounds) > 1:
+            # A text's first part has no space before it.
+            heads = bounds[:-1]
+            first, place = np.unique(number[heads], return_inverse=True)
+            number[heads] = len(found) + place
+            keep = [i for i in first.tolist() if distinct[i] and distinct[i][:1] != b"\xff"]
+            made = dict(zip(keep, self._first([distinct[i] for i in keep])))
+            found += [made.get(i, found[i] if distinct[i] else b"") for i in first.tolist()]
         sizes = np.array([len(b) // 4 for b in found], np.int64)
         flat = np.frombuffer(b"".join(found), np.uint32)
-        number = coded.indices.to_numpy(zero_copy_only=False)
         counts = sizes[number]
         ids = flat[expand((np.cumsum(sizes) - sizes)[number], counts)]
-        total = np.r_[0, np.cumsum(counts)]
-        return ids, np.r_[0, total[ends]]
+        total = np.r_[0, np.cumsum(counts)][bounds]
+        lengths = np.diff(total)
+        out = np.full(len(ids) + len(texts), end, np.uint32)
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), lengths)] = ids
+        return out, np.r_[0, np.cumsum(lengths + 1)]
+
+    def _first(self, parts: list) -> list:
+        """Ids of parts that stand first in a text."""
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in parts], add_special_tokens=False)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
