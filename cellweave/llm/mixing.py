@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from cellweave.llm._base import checkpointed
 
@@ -124,6 +125,10 @@ def round_to_copies(size: np.ndarray, rate: np.ndarray, most: int) -> np.ndarray
     return out
 
 
+def _size(text: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, doc_id: str = "doc_id", text: str = "text", source: str = "source", moments: dict[str, tuple[Column, float]] | None = None) -> DataFrame:
     """(id, size, source, source_size, target, rate, copies) for every document.
 
@@ -136,7 +141,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, do
     sized = docs.select(
         F.col(doc_id).cast("long").alias("id"),
         F.col(source).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        _size(text).alias("size"),
         *[c.cast("double").alias(n) for n, (c, _) in extra.items()],
     )
     sized = checkpointed(sized)
@@ -167,12 +172,17 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, do
     return rated.groupBy(F.col("source"), F.col("part")).applyInArrow(give, "id long, size long, source string, source_size long, target double, rate double, copies long")
 
 
-def materialise(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+def materialise(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The mixed corpus: each document as often as it is taken, with its own columns only.
 
-    Ids must be unique here; a null id matches null.
+    Rows are matched by id and size (null matches null); rows that agree in both
+    share their copies evenly, the first in order of text taking one that is left.
     """
     names = docs.columns
-    counts = mixed.where("copies > 0").select(F.col("id").alias("__mix_id"), F.col("copies").alias("__mix_copies"))
-    joined = docs.join(counts, F.col(doc_id).cast("long").eqNullSafe(F.col("__mix_id")))
-    return joined.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), "__mix_copies"))).select(*names)
+    taken = mixed.groupBy(F.col("id").alias("__mix_id"), F.col("size").alias("__mix_size")).agg(F.sum("copies").alias("__mix_copies"), F.count(F.lit(1)).alias("__mix_rows")).where("__mix_copies > 0")
+    keyed = docs.withColumns({"__id": F.col(doc_id).cast("long"), "__size": _size(text)})
+    joined = keyed.join(taken, F.col("__id").eqNullSafe(F.col("__mix_id")) & (F.col("__size") == F.col("__mix_size")))
+    order = Window.partitionBy("__mix_id", "__mix_size").orderBy(F.col(text))
+    share = F.floor(F.col("__mix_copies") / F.col("__mix_rows")) + (F.row_number().over(order) <= F.col("__mix_copies") % F.col("__mix_rows")).cast("long")
+    counted = joined.withColumn("__mix_share", share).where("__mix_share > 0")
+    return counted.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), "__mix_share"))).select(*names)

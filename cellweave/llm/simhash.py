@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from cellweave.llm import hamming
 from cellweave.llm._base import as_bytes, checkpointed
@@ -129,3 +130,16 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     radius = int(bits * share + 1.25 * math.sqrt(bits * share * (1 - share)))
     found = fingerprints(docs, doc_id, text, shingle, tuple(range(42, 42 + WIDE)))
     return _classes(found, WIDE, radius, lambda n: sampled_tables(n, similarity)).select("id", "class_id")
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents with the smallest id of each near-duplicate class, with all of their columns.
+
+    Of rows with equal ids the one with the least text stays.  Documents without
+    an id are kept: no class can name them.
+    """
+    kept = near_duplicate_classes(docs, doc_id, text, shingle, similarity).where("id = class_id").select(F.col("id").alias("__kept_id")).distinct()
+    named = docs.join(kept, F.col(doc_id).cast("long") == F.col("__kept_id"), "left_semi")
+    order = Window.partitionBy(doc_id).orderBy(F.col(text))
+    first = named.withColumn("__kept_row", F.row_number().over(order)).where("__kept_row = 1").select(*docs.columns)
+    return first.unionByName(docs.where(F.col(doc_id).isNull()))
