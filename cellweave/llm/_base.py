@@ -138,9 +138,12 @@ def undelta(differences: np.ndarray) -> np.ndarray:
     return np.cumsum(differences.astype(np.uint64), dtype=np.uint64)
 
 
-def to_chunks(docs: DataFrame, columns: list[str], text: str, limit: int = CHUNK_BYTES) -> DataFrame:
+def to_chunks(docs: DataFrame, columns: list[str], text: str, limit: int = CHUNK_BYTES, gather: bool = False) -> DataFrame:
     """(chunk, body): whole documents grouped into blobs, dealt by chunk number.
 
+    `gather` reads small input partitions together until each holds about a
+    chunk (or there is one for each core), without a shuffle.
+
     Numbers come from the partition and the position in it, so a task that
     runs again makes the same chunks.  Consumers that read the frame more than
     once in one query share its exchange.
@@ -154,7 +157,10 @@ def to_chunks(docs: DataFrame, columns: list[str], text: str, limit: int = CHUNK
         for k, table in enumerate(slices(batches, text, limit)):
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([base + k], pa.int64()), "body": pa.array([pack_table(table)], pa.binary())})
 
-    return docs.select(*columns).mapInArrow(group, "chunk long, body binary").repartition("chunk")
+    named = docs.select(*columns)
+    if gather:
+        named = named.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(named, text) * 2 // limit)))
+    return named.mapInArrow(group, "chunk long, body binary").repartition("chunk")
 
 
 def mixed(values: np.ndarray, salt: int = 0) -> np.ndarray:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from cellweave.llm._base import checkpointed, deltas, mixed, pack_arrays, slices, to_chunks, undelta, unpack_arrays, unpack_table
+from cellweave.llm._base import checkpointed, deltas, pack_arrays, slices, to_chunks, undelta, unpack_arrays, unpack_table
 
 ORDER = 5
 BITS = 12
@@ -44,6 +44,10 @@ BEGIN, END = 0, 1
 #: Symbols of the language's mean that are added to each document, and the slack on thresholds in nats per symbol.
 PRIOR = 50
 SLACK = 0.15
+#: Text bytes of a chunk and of the parts it is worked through in; n-grams that a counting task holds.
+LM_CHUNK_BYTES = 16 << 20
+PART_BYTES = 4 << 20
+HELD = 2_000_000
 #: Bytes of trusted ids up to which they are broadcast.
 BROADCAST_BYTES = 32 << 20
 
@@ -72,10 +76,16 @@ def count(texts: DataFrame) -> DataFrame:
     """(gram, n): how often each n-gram of the highest order occurs in the column `text`."""
 
     def run(batches):
-        for table in slices(batches, "text"):
+        held, n = np.empty(0, np.uint64), np.empty(0, np.int64)
+        for table in slices(batches, "text", PART_BYTES):
             grams, _, _ = symbols([t.as_py().encode() if t.is_valid else None for t in table.column("text")])
-            found, n = np.unique(grams, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
+            found, k = np.unique(grams, return_counts=True)
+            merged, place = np.unique(np.concatenate([held, found]), return_inverse=True)
+            held, n = merged, np.bincount(place, weights=np.concatenate([n, k]), minlength=len(merged)).astype(np.int64)
+            if len(held) >= HELD:
+                yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int64)), pa.array(n)], names=["gram", "n"])
+                held, n = np.empty(0, np.uint64), np.empty(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int64)), pa.array(n)], names=["gram", "n"])
 
     return texts.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -136,35 +146,42 @@ class Model:
         return below.select("gram", F.ln("p").alias("logp"))
 
 
-def _chunk(body: bytes):
-    table = unpack_table(body)
-    grams, owner, sizes = symbols([t.as_py().encode() if t.is_valid else None for t in table.column("text")])
-    coded = pa.array(grams).dictionary_encode()
-    distinct = coded.dictionary.to_numpy()
-    return table, owner, sizes, distinct, coded.indices.to_numpy()
+def _parts(body: bytes):
+    """A chunk in parts of bounded size: (table, owner, sizes, distinct n-grams, number of each n-gram)."""
+    for table in slices(iter(unpack_table(body).to_batches(max_chunksize=1000)), "text", PART_BYTES):
+        grams, owner, sizes = symbols([t.as_py().encode() if t.is_valid else None for t in table.column("text")])
+        coded = pa.array(grams).dictionary_encode()
+        yield table, owner, sizes, coded.dictionary.to_numpy(), coded.indices.to_numpy()
 
 
 def _deal(distinct: np.ndarray, shards: int):
-    """(shard, positions) of a chunk's distinct n-grams, ascending within each shard."""
-    order = np.argsort(distinct)
-    shard = (mixed(distinct[order], 3) % np.uint64(shards)).astype(np.int64)
+    """(shard, n-grams) of ascending distinct n-grams, ascending within each shard."""
+    shard = (distinct % np.uint64(shards)).astype(np.int64)
     by = np.argsort(shard, kind="stable")
-    order, shard = order[by], shard[by]
-    cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else np.empty(0, np.int64)
-    for a, b in zip(cut, np.r_[cut[1:], len(shard)]):
-        yield int(shard[a]), order[a:b]
+    cut = np.r_[0, np.cumsum(np.bincount(shard, minlength=shards))]
+    for s in range(shards):
+        if cut[s] < cut[s + 1]:
+            yield s, by[cut[s] : cut[s + 1]]
+
+
+def _prime(least: int) -> int:
+    """The smallest odd prime from `least` on: the last symbols alone then don't decide an n-gram's shard."""
+    n = max(3, least | 1)
+    while any(n % k == 0 for k in range(3, int(n**0.5) + 1, 2)):
+        n += 2
+    return n
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(id, lang, n, nll): symbols of each document and its negative log-likelihood, from (id, lang, text)."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    shards = max(64, size >> 25)
-    chunks = to_chunks(docs, ["id", "lang", "text"], "text")
+    shards = _prime(max(64, size >> 25))
+    chunks = to_chunks(docs, ["id", "lang", "text"], "text", LM_CHUNK_BYTES, gather=True)
 
     def send(batches):
         for batch in batches:
             for chunk, body in zip(batch.column("chunk").to_pylist(), batch.column("body")):
-                distinct = _chunk(body.as_py())[3]
+                distinct = np.unique(np.concatenate([d for _, _, _, d, _ in _parts(body.as_py())]))
                 parts = [(s, pack_arrays(gram=deltas(distinct[at]))) for s, at in _deal(distinct, shards)]
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in parts], pa.int64()), pa.array([chunk] * len(parts), pa.int64()), pa.array([b for _, b in parts], pa.binary())], names=["shard", "chunk", "body"])
 
@@ -172,10 +189,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def union(key, table):
         grams = np.unique(np.concatenate([undelta(unpack_arrays(b.as_py())["gram"]) for b in table.column("body")]))
-        return pa.table({"shard": pa.array(np.full(len(grams), key[0].as_py(), np.int64)), "gram": pa.array(grams.astype(np.int64))})
+        return pa.table({"gram": pa.array(grams.astype(np.int64))})
 
-    distinct = sent.groupBy("shard").applyInArrow(union, "shard long, gram long")
-    known = model.resolve(distinct.select("gram")).join(distinct, "gram").select("shard", "gram", "logp")
+    distinct = sent.groupBy("shard").applyInArrow(union, "gram long")
+    known = model.resolve(distinct).withColumn("shard", F.col("gram") % shards)
 
     def answer(key, left, right):
         right = right.combine_chunks()
@@ -190,13 +207,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def add_up(key, left, right):
         if not left.num_rows:
             return pa.table({"id": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "n": pa.array([], pa.int64()), "nll": pa.array([], pa.float64())})
-        table, owner, sizes, distinct, number = _chunk(left.column("body")[0].as_py())
         got = dict(zip(right.column("shard").to_pylist(), right.column("body")))
-        logp = np.zeros(len(distinct), np.float64)
-        for s, at in _deal(distinct, shards):
+        body, out = left.column("body")[0].as_py(), []
+        every = np.unique(np.concatenate([d for _, _, _, d, _ in _parts(body)]))
+        logp = np.zeros(len(every), np.float64)
+        for s, at in _deal(every, shards):
             logp[at] = unpack_arrays(got[s].as_py())["logp"]
-        total = -np.bincount(owner, weights=logp[number], minlength=len(sizes)).astype(np.float64)
-        return pa.table({"id": table.column("id"), "lang": table.column("lang"), "n": pa.array(sizes), "nll": pa.array(total)})
+        for table, owner, sizes, distinct, number in _parts(body):
+            mine = logp[np.searchsorted(every, distinct)]
+            total = -np.bincount(owner, weights=mine[number], minlength=len(sizes)).astype(np.float64)
+            out.append(pa.table({"id": table.column("id"), "lang": table.column("lang"), "n": pa.array(sizes), "nll": pa.array(total)}))
+        return pa.concat_tables(out)
 
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(add_up, "id long, lang string, n long, nll double")
 
