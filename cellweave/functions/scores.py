@@ -47,7 +47,8 @@ def combine(a: Column, b: Column, method: str, weight: Column | float) -> Column
 
 def relative_degradation(h: Column, reference: Column) -> Column:
     """Lost share of the reference quality; NULL where either is missing or the reference is zero."""
-    return 1.0 - F.least(F.greatest(F.try_divide(h, reference), F.lit(0.0)), F.when(h.isNotNull() & (reference > 0), F.lit(1.0)))
+    kept = F.least(F.greatest(F.try_divide(h, reference), F.lit(0.0)), F.lit(1.0))
+    return F.when(h.isNotNull() & (reference > 0), 1.0 - kept)
 
 
 def fuse(m: Column, h: Column, feasible: Column, reference: Column, alpha: float = 0.5, gamma: float = 0.5, method: str = "geometric", deficit: str = "low_hq") -> dict[str, Column]:
