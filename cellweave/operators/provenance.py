@@ -14,7 +14,7 @@ def leaks(samples: DataFrame, footprints: DataFrame) -> DataFrame:
     `samples` has (sample_id, group_id, artifact), `footprints` (artifact, stage,
     kind, id) with kind sample or group.
     """
-    held = footprints.select("artifact", "kind", "id").distinct()
+    held = footprints.select("artifact", "kind", "id")
     asked = samples.select("artifact", F.lit("sample").alias("kind"), F.col("sample_id").alias("id")).unionByName(samples.select("artifact", F.lit("group").alias("kind"), F.col("group_id").alias("id")))
     hits = asked.join(held, ["artifact", "kind", "id"], "left_semi")
     return hits.groupBy("artifact", "kind").agg(F.count(F.lit(1)).alias("n_leaks"))
