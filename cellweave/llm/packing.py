@@ -150,7 +150,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
 
         packer = _Packer(window, TaskContext.get().partitionId())
         tool = encoder(tokenizer)
-        for table in slices(batches, "text", 4 << 20):
+        for table in slices(batches, "text", 8 << 20):
             ids, bounds = tool.encode(as_bytes(table.column("text").combine_chunks()), end)
             for i, name in enumerate(table.column("id").to_pylist()):
                 packer.document(name, ids[bounds[i] : bounds[i + 1]])
