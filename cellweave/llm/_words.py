@@ -5,10 +5,13 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+
+#: Every white space byte as a space.
+TO_SPACE = bytes(32 if b in b"\t\n\r\x0b\x0c" else b for b in range(256))
 
 
 def split_all(texts: list) -> tuple[list, np.ndarray]:
@@ -30,12 +33,21 @@ def codes(words: list) -> tuple[np.ndarray, list]:
     return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
 
 
+def split_columns(texts: list) -> tuple[pa.Array, np.ndarray]:
+    """As `split_all`, but the words are one Arrow column; no Python object is made for a word."""
+    plain = [text.translate(TO_SPACE) if text else b"" for text in texts]
+    parts = pc.split_pattern(pa.array(plain, pa.large_binary()), b" ")
+    words = parts.flatten()
+    some = pc.greater(pc.binary_length(words), 0)
+    count = np.r_[0, np.cumsum(some.to_numpy(zero_copy_only=False))]
+    return words.filter(some), count[parts.offsets.to_numpy()] if len(texts) else np.zeros(1, np.int64)
+
+
 def word_lanes(distinct: list) -> np.ndarray:
-    """Two independent 64-bit values for each distinct word (a 128-bit BLAKE2b digest)."""
+    """Two independent 64-bit values for each distinct word (its XXH3 of 128 bits)."""
     if not distinct:
         return np.empty((0, 2), np.uint64)
-    joined = b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in distinct])
-    return np.frombuffer(joined, np.uint64).reshape(-1, 2)
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, distinct)), np.uint64).reshape(-1, 2)
 
 
 #: Odd multipliers of the two window-hash lanes.
@@ -45,7 +57,7 @@ LANES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 def window_hashes(values: np.ndarray, length: int, multiplier: int) -> np.ndarray:
     """Polynomial hash of every `length` consecutive values, by doubling.
 
-    The values are uniform 64-bit digests, so two different windows agree in a
+    The values are uniform 64-bit hashes, so two different windows agree in a
     lane with a probability near 2**-64.
     """
     n = len(values) - length + 1

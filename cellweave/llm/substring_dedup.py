@@ -31,11 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm._base import as_bytes, deltas, expand, mixed, narrow, pack_arrays, to_chunks, undelta, unpack_arrays, unpack_table
-from cellweave.llm._words import LANES, codes, split_all, window_hashes, word_lanes
+from cellweave.llm._words import LANES, split_columns, window_hashes, word_lanes
 
 #: Counters that a slice of a sketch row covers at most, and candidate windows that a group compares.
 SLICE_COUNTERS = 1 << 23
@@ -53,9 +54,9 @@ class _Chunk:
         self.rows = np.argsort(order_ids, kind="stable")
         self.row_ids = order_ids[self.rows]
         texts = as_bytes(table.column("text").combine_chunks())
-        self.words, self.bounds = split_all([texts[i] for i in self.rows])
-        number, distinct = codes(self.words)
-        lanes = word_lanes(distinct)
+        self.words, self.bounds = split_columns([texts[i] for i in self.rows])
+        coded = self.words.dictionary_encode()
+        number, lanes = coded.indices.to_numpy(zero_copy_only=False), word_lanes(coded.dictionary.to_pylist())
         sizes = np.diff(self.bounds)
         windows = np.maximum(sizes - length + 1, 0)
         #: First word of each window, and the row that it is in.
@@ -204,18 +205,12 @@ def _finish(length: int):
         np.add.at(change, starts, 1)
         np.add.at(change, starts + length, -1)
         gone = np.cumsum(change[:-1]) > 0
-        ids, n_words, n_removed, kept = [], [], [], []
-        for row, (a, b) in enumerate(zip(own.bounds[:-1].tolist(), own.bounds[1:].tolist())):
-            cut = gone[a:b]
-            removed = int(cut.sum())
-            words = own.words[a:b]
-            if removed:
-                words = [words[i] for i in np.flatnonzero(~cut).tolist()]
-            ids.append(own.ids[own.rows[row]])
-            n_words.append(b - a)
-            n_removed.append(removed)
-            kept.append(b" ".join(words))
-        return pa.table({"id": pa.array(ids, pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string())})
+        left_over = np.r_[0, np.cumsum(~gone)][own.bounds]
+        words = own.words.filter(pa.array(~gone))
+        kept = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(left_over, pa.int64()), words), pa.scalar(b" ", pa.large_binary()))
+        sizes = np.diff(own.bounds)
+        ids = pa.array([own.ids[i] for i in own.rows], pa.int64())
+        return pa.table({"id": ids, "n_words": pa.array(sizes), "n_removed": pa.array(sizes - np.diff(left_over)), "kept_text": kept.cast(pa.binary()).cast(pa.string())})
 
     return run
 

@@ -24,10 +24,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from cellweave.llm._base import expand
+from cellweave.llm._words import TO_SPACE
 
 #: White space outside 0x20 and 0x09-0x0D.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-_TO_SPACE = bytes(32 if b in b"\t\n\r\x0b\x0c" else b for b in range(256))
 #: Cached pieces in each of two generations; an older one is dropped as a whole.
 CACHE = 400_000
 
@@ -128,7 +128,7 @@ class Encoder:
             elif self._odd(text):
                 plain.append(b"\xff%d" % i)
             else:
-                plain.append(text.translate(_TO_SPACE) if self.rule == "word" else text)
+                plain.append(text.translate(TO_SPACE) if self.rule == "word" else text)
         parts = pc.split_pattern(pa.array(plain, pa.large_binary()), b" ")
         del plain
         bounds = parts.offsets.to_numpy()
