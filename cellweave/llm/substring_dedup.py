@@ -225,7 +225,8 @@ def remove_repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str =
     size = named.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     # Four counters for each window, at five bytes a word.
     bits = max(12, int(max(size * 4 // 5, 1) - 1).bit_length())
-    slice_bits = min(bits, SLICE_COUNTERS.bit_length() - 1)
+    # Beyond 2**14 slices a row they widen (to 2**27 counters of a byte), or a chunk would send near-empty ones.
+    slice_bits = min(bits, max(SLICE_COUNTERS.bit_length() - 1, min(27, bits - 14)))
     groups = max(64, size // 5 // 2_000_000)
     chunks = to_chunks(named, ["id", "text"], "text")
     sketches = chunks.mapInArrow(_sketch(length, bits, slice_bits), "slice long, chunk long, body binary")
