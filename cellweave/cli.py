@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from cellweave import sinks
 from cellweave.functions import scores
 from cellweave.operators import models, parameters, provenance, ranking, selection, validate
-from cellweave.sources import demo, files
+from cellweave.sources import demo, files, geotiff
 
 
 def session() -> SparkSession:
@@ -130,11 +130,16 @@ def predict(spark: SparkSession, args: argparse.Namespace) -> dict:
 LAYERS = ("m", "h", "feasible", "habitat_suitability")
 
 
+def read_grid(spark: SparkSession, path: str) -> DataFrame:
+    """A raster as cells, by its suffix: GeoTIFF, or ASCII grid (plain or zipped)."""
+    return geotiff.read_geotiffs(spark, path) if path.lower().endswith((".tif", ".tiff")) else files.read_ascii_grids(spark, path)
+
+
 def raster(spark: SparkSession, args: argparse.Namespace) -> dict:
-    """Fuse aligned ASCII grids (plain or zipped) into a cell table with zone counts."""
+    """Fuse aligned rasters into a cell table with zone counts; GeoTIFF inputs give GeoTIFF layers as well."""
     joined: DataFrame | None = None
     for name in LAYERS:
-        layer = files.read_ascii_grids(spark, getattr(args, name)).select("row", "col", F.col("x").alias(f"x_{name}"), F.col("y").alias(f"y_{name}"), F.col("value").alias(name))
+        layer = read_grid(spark, getattr(args, name)).select("row", "col", F.col("x").alias(f"x_{name}"), F.col("y").alias(f"y_{name}"), F.col("value").alias(name))
         joined = layer if joined is None else joined.join(layer, ["row", "col"], "full_outer")
     apart = F.lit(False)
     for name in LAYERS[1:]:
@@ -144,6 +149,11 @@ def raster(spark: SparkSession, args: argparse.Namespace) -> dict:
     out = new_folder(args.out)
     cells = scored(joined.select("row", "col", F.col("x_m").alias("x"), F.col("y_m").alias("y"), *LAYERS), args).withColumn("feasible", F.col("feasible").cast("int"))
     sinks.write_new(cells, str(out / "cells"))
+    if str(args.m).lower().endswith((".tif", ".tiff")):
+        grid, kept = geotiff.parse(Path(args.m).read_bytes()).grid, spark.read.parquet(str(out / "cells"))
+        for name in ("conservation", "restoration"):
+            geotiff.write_geotiff(kept, grid, name, str(out / f"{name}.tif"))
+        geotiff.write_geotiff(kept, grid, "zone", str(out / "zone.tif"), "u1", 0)
     counts = {str(r["zone"]): r["count"] for r in spark.read.parquet(str(out / "cells")).groupBy("zone").count().orderBy("zone").collect()}
     known = F.col("m").isNotNull() & F.col("h").isNotNull() & F.col("feasible").isNotNull() & F.col("habitat_suitability").isNotNull()
     differ = joined.select(F.count_if(~(known) & (F.coalesce("m", "h", "feasible", "habitat_suitability").isNotNull())).alias("n")).first()["n"]
@@ -158,7 +168,7 @@ def invest_plan(spark: SparkSession, args: argparse.Namespace) -> dict:
     parameters.check_prior(spec)
     threats = files.read_csv(spark, args.threats, parameters.THREATS)
     sensitivity = files.read_all_text(spark, args.sensitivity)
-    codes = files.read_ascii_grids(spark, args.lulc)
+    codes = read_grid(spark, args.lulc)
     plan = parameters.plan(spark, spec, threats, sensitivity, codes, args.members, args.seed)
     out = new_folder(args.out)
     for name, table in plan.items():
