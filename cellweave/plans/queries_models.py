@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.functions.grid import to_degrees, to_utm
-from cellweave.operators import habitat, nested, splits
+from cellweave.operators import habitat, nested, selection, splits
 from cellweave.plans.queries_scores import r6
 from cellweave.plans.views import with_views
+from cellweave.sinks import checkpointed
 from cellweave.sources.bridge import Bridge
 
 THREATS = [("urban", 300.0, 0.7, "linear"), ("light", 400.0, 0.3, "exponential")]
@@ -66,6 +67,33 @@ def oof_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("season", "cell_id", "fold", F.round("score", 6).alias("score"))
 
 
+def _tuned(spark: SparkSession, sf_dir: str):
+    b = Bridge(spark, sf_dir)
+    cells = b.cells()
+    folds, _ = splits.split_plan(cells, b.presence(), SEASONS)
+    wide = cells.where("light IS NOT NULL").select("cell_id", (F.col("size") / 50.0).alias("size_scaled"), "urban", "light")
+    metrics = checkpointed(nested.tune(wide, folds, b.presence(), NAMES))
+    summary = selection.candidate_summary(metrics, ["season", "outer", "variant", "background", "rm", "fc"])
+    return wide, folds, b.presence(), metrics, selection.choose(summary, ["season", "outer"], 0.4)
+
+
+def nested_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of every candidate on every inner fold."""
+    return _tuned(spark, sf_dir)[3].select("season", "outer", "inner_fold", "rm", "fc", *(F.round(c, 6).alias(c) for c in ("validation_auc", "omission_10", "auc_gap")), "complexity")
+
+
+def nested_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidate of each outer fold by the one-standard-error rule."""
+    return _tuned(spark, sf_dir)[4].select("season", "outer", "rm", "fc", F.round("mean_auc", 6).alias("mean_auc"), "omission_constraint_failed")
+
+
+def nested_oof_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold scores of the chosen candidates, summarised by season and fold."""
+    wide, folds, presence, _, chosen = _tuned(spark, sf_dir)
+    scores = nested.refit(wide, folds, presence, NAMES, chosen)
+    return scores.groupBy("season", "fold").agg(F.count("score").alias("n_cells"), *(F.round(F.percentile("score", q), 6).alias(n) for q, n in ((0.05, "q05"), (0.5, "median"), (0.95, "q95"))))
+
+
 def cell_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longitude and latitude of each cell's centre, and how far the way back misses it, in millimetres."""
     cells = Bridge(spark, sf_dir).cells()
@@ -83,7 +111,7 @@ def replay_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.replay_differences(one, two, ["season", "cell_id"], ["visits"])
 
 
-QUERIES = {f.__name__: f for f in (habitat_quality, derive_threat_fits, derive_joint_fits, nested_cv_metrics, oof_archive, cell_coordinates, replay_audit)}
+QUERIES = {f.__name__: f for f in (habitat_quality, derive_threat_fits, derive_joint_fits, nested_cv_metrics, oof_archive, nested_tuning, nested_choice, nested_oof_quantiles, cell_coordinates, replay_audit)}
 
 
 def _offsets(name: str, far: float, weight: float, decay: str) -> str:
