@@ -65,6 +65,11 @@ def text_lengths(column: pa.Array) -> np.ndarray:
     return lengths.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def trim() -> None:
+    """Give freed Arrow memory back; two workers share an executor with its JVM."""
+    pa.default_memory_pool().release_unused()
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.Table]:
     """Regroup record batches into tables of about `limit` text bytes each."""
     held: list[pa.RecordBatch] = []
@@ -83,6 +88,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
             if size >= limit or start < batch.num_rows:
                 yield pa.Table.from_batches(held)
                 held, size = [], 0
+                trim()
     if held:
         yield pa.Table.from_batches(held)
 
@@ -178,7 +184,11 @@ def expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     if not total:
         return np.empty(0, np.int64)
     ends = np.cumsum(counts)
-    return np.arange(total, dtype=np.int64) - np.repeat(ends - counts - starts, counts)
+    shift = starts - (ends - counts)
+    kind = np.int32 if max(total, int(ends[-1]), int(starts.max()) + int(counts.max())) < 1 << 31 else np.int64
+    out = np.repeat(shift.astype(kind), counts)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]

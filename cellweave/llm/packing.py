@@ -17,6 +17,7 @@ returned.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm._base import as_bytes, input_bytes, slices
-from cellweave.llm.tokens import encoder
+from cellweave.llm.tokens import CACHE, encoder
 
 #: Input bytes (as the plan estimates them) for which a partition is opened, and tokens that a block packs.
 PARTITION_BYTES = 16 << 20
@@ -129,18 +130,22 @@ class _Packer:
                 self.pieces += [(p[0], p[1], p[2].copy(), p[3]) for p in mine]
                 self.held += filled
 
-    def take(self) -> pa.RecordBatch:
-        columns = list(zip(*self.rows)) if self.rows else [()] * 7
-        self.rows = []
+    def take(self) -> Iterator[pa.RecordBatch]:
+        """What is ready, in batches of about a million ids."""
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+        step = max(1, (1 << 20) // self.window)
+        for a in range(0, len(self.rows), step):
+            columns = zip(*self.rows[a : a + step])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+        self.rows = []
 
 
-def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", window: int = 2048, end: int = 1) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", window: int = 2048, end: int = 1, slice_bytes: int = 6 << 20, cache: int = CACHE) -> DataFrame:
     """(id, start, length, ids, doc_tokens, sequence_id, offset): the pieces of all sequences.
 
     `tokenizer` is the path of a `tokenizers` file; `ids` are little-endian
-    unsigned 32-bit integers; each document ends with the id `end`.
+    unsigned 32-bit integers; each document ends with the id `end`.  `slice_bytes`
+    of text and `cache` pieces bound a worker's memory, and do not change the result.
     """
     named = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     wanted = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(input_bytes(named) / PARTITION_BYTES))
@@ -149,17 +154,15 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
         from pyspark import TaskContext
 
         packer = _Packer(window, TaskContext.get().partitionId())
-        tool = encoder(tokenizer)
-        for table in slices(batches, "text", 8 << 20):
+        tool = encoder(tokenizer, cache)
+        for table in slices(batches, "text", slice_bytes):
             ids, bounds = tool.encode(as_bytes(table.column("text").combine_chunks()), end)
             for i, name in enumerate(table.column("id").to_pylist()):
                 packer.document(name, ids[bounds[i] : bounds[i + 1]])
             if packer.held >= BLOCK_TOKENS:
                 packer.block(False)
-            if packer.rows:
-                yield packer.take()
+            yield from packer.take()
         packer.block(True)
-        if packer.rows:
-            yield packer.take()
+        yield from packer.take()
 
     return named.coalesce(wanted).mapInArrow(run, _OUT)

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm._base import as_bytes, deltas, expand, mixed, narrow, pack_arrays, to_chunks, undelta, unpack_arrays, unpack_table
+from cellweave.llm._base import as_bytes, deltas, expand, mixed, narrow, pack_arrays, to_chunks, trim, undelta, unpack_arrays, unpack_table
 from cellweave.llm._words import LANES, split_columns, window_hashes, word_lanes
 
 #: Counters that a slice of a sketch row covers at most, and candidate windows that a group compares.
@@ -47,6 +47,7 @@ class _Chunk:
     """A chunk's words, and its windows in the order (id, row, position)."""
 
     def __init__(self, body: bytes, length: int):
+        trim()
         table = unpack_table(body)
         ids = table.column("id").combine_chunks()
         self.ids = ids.to_pylist()

@@ -38,6 +38,9 @@ from cellweave.llm.tokens import encoder
 NULL_ID = np.iinfo(np.int64).min
 #: Input bytes (as the plan estimates them) for each shard.
 SHARD_BYTES = 16 << 20
+#: Text bytes that are encoded together, and cached pieces of a worker.
+SLICE_BYTES = 8 << 20
+CACHE = 400_000
 
 
 class Folder:
@@ -99,12 +102,12 @@ def write(docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "doc_id",
     def run(batches):
         from pyspark import TaskContext
 
-        number, store, tool = TaskContext.get().partitionId(), Folder(folder), encoder(tokenizer)
+        number, store, tool = TaskContext.get().partitionId(), Folder(folder), encoder(tokenizer, CACHE)
         names = [f"shard-{number:05d}.{k}" for k in ("tokens", "offsets", "ids")]
         opened = [store.create(n) for n in names]
         total = count = 0
         opened[1][1].write(np.zeros(1, "<u8").tobytes())
-        for table in slices(batches, "text", 8 << 20):
+        for table in slices(batches, "text", SLICE_BYTES):
             ids, bounds = tool.encode(as_bytes(table.column("text").combine_chunks()), end)
             opened[0][1].write(ids.astype(item).tobytes())
             opened[1][1].write((bounds[1:] + total).astype("<u8").tobytes())

@@ -23,13 +23,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from cellweave.llm._base import expand
+from cellweave.llm._base import expand, trim
 from cellweave.llm._words import TO_SPACE
 
 #: White space outside 0x20 and 0x09-0x0D.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-#: Cached pieces in each of two generations; an older one is dropped as a whole.
-CACHE = 400_000
+#: Cached pieces in each of two generations; an older one is dropped as a whole.  About 150 bytes each.
+CACHE = 250_000
 
 
 def cut_rule(path: str) -> str:
@@ -50,7 +50,8 @@ def cut_rule(path: str) -> str:
 class Encoder:
     """Encodes lists of texts; one for each Python worker."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
+        self.cache = cache
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -79,16 +80,21 @@ class Encoder:
         """The ids of new pieces, encoded side by side in longer texts."""
         out: list = []
         for start in range(0, len(pieces), 256):
-            part = [p.decode("utf-8", "replace") for p in pieces[start : start + 256]]
+            part = pieces[start : start + 256]
+            try:
+                text = (b"" if self.rule == "space" else b" ").join(part).decode()
+            except UnicodeDecodeError:
+                part = [p.decode("utf-8", "replace").encode() for p in part]
+                text = (b"" if self.rule == "space" else b" ").join(part).decode()
             if self.rule == "space":
-                ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, np.uint32)
-                ends = np.cumsum([len(p.encode()) for p in part])
-                cuts = np.searchsorted(np.cumsum(self.width[ids]), ends, side="right")
+                ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+                cuts = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(list(map(len, part))), side="right")
             else:
-                made = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+                made = self.tokenizer.encode(text, add_special_tokens=False)
                 ids = np.array(made.ids, np.uint32)
                 begins = np.array([a for a, _ in made.offsets], np.int64)
-                cuts = np.searchsorted(begins, np.cumsum([len(p) + 1 for p in part]), side="left")
+                sizes = list(map(len, part)) if text.isascii() else [len(p.decode()) for p in part]
+                cuts = np.searchsorted(begins, np.cumsum(sizes) + np.arange(1, len(part) + 1), side="left")
             body, last = ids.tobytes(), 0
             for cut in (cuts * 4).tolist():
                 out.append(body[last:cut])
@@ -112,7 +118,7 @@ class Encoder:
                 found[i] = ids
                 if len(keys[i]) <= 64:
                     young[keys[i]] = ids
-        if len(young) > CACHE:
+        if len(young) > self.cache:
             self.old, self.young = young, {}
         return found
 
@@ -153,15 +159,17 @@ class Encoder:
             keep = [i for i in first.tolist() if distinct[i] and distinct[i][:1] != b"\xff"]
             made = dict(zip(keep, self._first([distinct[i] for i in keep])))
             found += [made.get(i, found[i] if distinct[i] else b"") for i in first.tolist()]
+        # The end id is one more piece after each text's own.
+        found.append(np.array([end], np.uint32).tobytes())
+        number = np.insert(number, bounds[1:], len(found) - 1) if len(texts) else number
         sizes = np.array([len(b) // 4 for b in found], np.int64)
         flat = np.frombuffer(b"".join(found), np.uint32)
+        del found, distinct, coded, parts
         counts = sizes[number]
         ids = flat[expand((np.cumsum(sizes) - sizes)[number], counts)]
-        total = np.r_[0, np.cumsum(counts)][bounds]
-        lengths = np.diff(total)
-        out = np.full(len(ids) + len(texts), end, np.uint32)
-        out[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), lengths)] = ids
-        return out, np.r_[0, np.cumsum(lengths + 1)]
+        places = np.r_[0, np.cumsum(counts)][bounds + np.arange(len(bounds))] if len(texts) else np.zeros(1, np.int64)
+        trim()
+        return ids, places
 
     def _first(self, parts: list) -> list:
         """Ids of parts that stand first in a text."""
@@ -171,8 +179,8 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache: int = CACHE) -> Encoder:
     """The worker's encoder of that file."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, cache)
     return _ENCODERS[path]

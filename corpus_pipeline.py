@@ -45,7 +45,8 @@ def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, vocabulary("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
+    """Small slices and cache: earlier stages have grown the executors' heaps to the full."""
+    return pack(docs, vocabulary("byte_bpe_50k.json"), slice_bytes=2 << 20, cache=100_000).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [
