@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.functions.grid import block, cell_name
+from cellweave.functions.grid import Grid, block, cell_name
 from cellweave.operators import provenance, sampling, spatial, splits, validate, zonal
 from cellweave.plans.queries_scores import r6
 from cellweave.plans.views import with_views
@@ -183,6 +183,14 @@ def balanced_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(sorted(part.items()) or [], "group_id string, part int")
 
 
+def resample_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The light layer on a grid of 150 m, moved by 30 m."""
+    b = Bridge(spark, sf_dir)
+    source = b.grid()
+    target = Grid(32, max(1, source.height * 2 // 3 - 1), ORIGIN[0] + 30.0, ORIGIN[1] - 30.0, 150.0)
+    return spatial.resample(b.cells(), source, target, "light").select("row", "col", r6(F.col("light"), "light"))
+
+
 def cell_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules of a cell table with planted faults: invalid cells, a shifted centre, repeated rows."""
     b = Bridge(spark, sf_dir)
@@ -234,7 +242,7 @@ def temporal_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     zonal_stats, class_density, presence_ratio, confusion_matrix, layer_inventory, layer_alignment, balance_weights, odds_norm, block_counts, cell_identity, grid_sample, fold_counts, crossfit_plan, crossfit_leaks,
     buffer_exclusion, support_coverage, coverage_panel, kde_density, background_uniform, background_weighted, stratified_blocks, latin_hypercube, linked_blocks, split_plan, balanced_assignment,
-    cell_violations, layer_violations, codes_without_evidence, provenance_leaks, footprint_consistency, role_isolation, temporal_isolation,
+    resample_bilinear, cell_violations, layer_violations, codes_without_evidence, provenance_leaks, footprint_consistency, role_isolation, temporal_isolation,
 )}
 
 
@@ -325,6 +333,11 @@ p AS (SELECT DISTINCT visit % 997 AS site, block FROM sightings JOIN b USING (ce
 e AS (SELECT DISTINCT x.block AS a, y.block AS z FROM p x JOIN p y USING (site)),
 c AS (SELECT a AS block, a AS seen FROM e UNION SELECT c.block, e.z FROM c JOIN e ON c.seen = e.a)
 SELECT block, min(seen) AS root FROM c GROUP BY 1""", "cells", "sightings"),
+    "resample_bilinear": with_views(f"""
+WITH z AS (SELECT max("row") + 1 AS h FROM cells), t AS (SELECT r, c, (30.0::DOUBLE + (c + 0.5::DOUBLE) * 150) / 100 - 0.5 AS a, (30.0::DOUBLE + (r + 0.5::DOUBLE) * 150) / 100 - 0.5 AS d
+  FROM (SELECT unnest(range(greatest(1, (SELECT h * 2 // 3 - 1 FROM z)))) AS r), (SELECT unnest(range(32)) AS c)),
+n AS (SELECT r, c, floor(d)::BIGINT + i AS sr, floor(a)::BIGINT + j AS sc, CASE i WHEN 1 THEN d - floor(d) ELSE 1 - (d - floor(d)) END * CASE j WHEN 1 THEN a - floor(a) ELSE 1 - (a - floor(a)) END AS w FROM t, (VALUES (0), (1)) x(i), (VALUES (0), (1)) y(j))
+SELECT r AS "row", c AS col, {_r("sum(w * light) / sum(w) FILTER (WHERE light IS NOT NULL)", "light")} FROM n LEFT JOIN cells ON "row" = sr AND col = sc WHERE w > 0 GROUP BY r, c""", "cells"),
     "cell_violations": with_views("""
 WITH t0 AS (SELECT cell_id, "row", col, CASE WHEN cell_id % 101 = 0 THEN x + 1 ELSE x END AS x, y, valid, x AS cx FROM cells WHERE cell_id % 2 = 0), t AS (SELECT * FROM t0 UNION ALL SELECT * FROM t0 WHERE cell_id % 202 = 0)
 SELECT 'outside_grid' AS rule, 0::BIGINT AS n_violations UNION ALL SELECT 'outside_mask', count(*) FILTER (WHERE NOT valid) FROM t UNION ALL SELECT 'off_centre', count(*) FILTER (WHERE valid AND abs(x - cx) > 0.01) FROM t

@@ -337,3 +337,14 @@ def test_zonal(spark):
     designs = zonal.scenario_designs(spark, [("a", 100.0, 0.5), ("b", 200.0, 0.5), ("c", 300.0, 0.5)], 0.5)
     assert designs.select("scenario").distinct().count() == 18
     assert all(r.s == pytest.approx(1) for r in designs.groupBy("scenario").agg(F.sum("weight").alias("s")).collect())
+
+
+def test_resample(spark):
+    cells = spatial.tile(spark, 4, 4).withColumn("v", F.when(F.col("cell_id") != 5, (F.col("row") * 10 + F.col("col")).cast("double")))
+    source = grid.Grid(4, 4, 0.0, 400.0)
+    same = {(r.row, r.col): r.v for r in spatial.resample(cells, source, source, "v").collect()}
+    assert same[2, 3] == 23.0 and same[1, 1] is None
+    half = {(r.row, r.col): r.v for r in spatial.resample(cells, source, grid.Grid(2, 2, 0.0, 400.0, 200.0), "v").collect()}
+    assert half[1, 1] == pytest.approx(27.5) and half[0, 0] == pytest.approx((0 + 1 + 10) / 3)
+    near = {(r.row, r.col): r.v for r in spatial.resample(cells, source, grid.Grid(2, 2, 10.0, 390.0, 200.0), "v", "nearest").collect()}
+    assert near[0, 0] is None and near[1, 1] == 33.0
