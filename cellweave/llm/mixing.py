@@ -38,7 +38,7 @@ from cellweave.llm._base import checkpointed
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents that are rounded together.
-GROUP = 20_000
+GROUP = 2_000
 
 
 def targets_for(sizes: Sequence[int], weights: Sequence[float], most: float = 3.0) -> list[float]:
