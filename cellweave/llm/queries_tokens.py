@@ -20,7 +20,7 @@ def vocabulary(name: str) -> str:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("byte_bpe_50k.json"))
+    packed = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("byte_bpe_50k.json"), slice_bytes=8 << 20, cache=400_000)
     return packed.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
