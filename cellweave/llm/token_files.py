@@ -39,7 +39,7 @@ NULL_ID = np.iinfo(np.int64).min
 #: Input bytes (as the plan estimates them) for each shard.
 SHARD_BYTES = 16 << 20
 #: Text bytes that are encoded together, and cached pieces of a worker.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 6 << 20
 CACHE = 400_000
 
 
