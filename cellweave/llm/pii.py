@@ -18,6 +18,15 @@ Kinds, and what makes a candidate valid:
     email   user@domain.tld: the user part is permuted
     secret  32-64 hexadecimal digits of one case, letters and digits among them
 
+A form may also take the numbers and words behind a value (card, iban, phone).
+Where the whole fails its check, its shorter starts that end with a group are
+tried, the longest first, then the other kinds; the scan goes on one character
+further.  No value takes a part of another one (a card: in the usual groups) that
+begins after a space inside it.  A number directly behind a card or telephone
+number that makes a longer valid one (by chance one in ten for a card) is taken
+with it: nothing stays in clear, but such a value has another pseudonym than
+alone, and the way back may take it apart differently.
+
 Anything else that looks alike (a number that fails its check) is left as it is.
 
 Defined results: a null text stays null, an empty one empty; a text may be of
@@ -30,7 +39,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 
 import pyarrow as pa
@@ -40,17 +49,24 @@ from pyspark.sql import functions as F
 ROUNDS = 10
 KINDS = ("card", "iban", "ssn", "phone", "ip", "date", "email", "secret")
 
-_PATTERN = re.compile(
-    r"(?P<email>[\w.+-]*\w@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,})"
-    r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9]))"
-    r"|(?P<secret>(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9]))"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{1,4}){2,6}(?!\w))"
-    r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)(?![A-Za-z_]))"
-    r"|(?P<date>(?<![\w/.-])(?:\d{4}(?P<a>[-/])\d{2}(?P=a)\d{2}|\d{2}(?P<b>[./])\d{2}(?P=b)\d{4})(?![\w/-])(?!\.\d))"
-    r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))",
-    re.ASCII,
-)
+_FORMS = {
+    "email": r"[\w.+-]*\w@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])",
+    "phone": r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{1,4}){2,6}(?!\w)",
+    "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)(?![A-Za-z_])",
+    "date": r"(?<![\w/.-])(?:\d{4}(?P<a>[-/])\d{2}(?P=a)\d{2}|\d{2}(?P<b>[./])\d{2}(?P=b)\d{4})(?![\w/-])(?!\.\d)",
+    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
+    "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])",
+}
+_PATTERN = re.compile("|".join(f"(?P<{k}>{form})" for k, form in _FORMS.items()), re.ASCII)
+_FORM = {k: re.compile(form, re.ASCII) for k, form in _FORMS.items()}
+#: Kinds whose form also takes what follows a value, and the kinds that a number before them must not take.
+_GREEDY = frozenset(("iban", "phone", "card"))
+_FIRM = frozenset(("email", "iban", "phone", "ip", "date"))
+_BOUNDARY = re.compile(r"(?<=[A-Za-z0-9])(?![A-Za-z0-9_])", re.ASCII)
+_AFTER_SPACE = re.compile(r"(?<= )(?=\S)")
+_CARD_GROUPS = re.compile(r"\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5}", re.ASCII)
 _MAYBE = re.compile(r"[0-9@]")
 
 
@@ -208,16 +224,57 @@ class Pseudonyms:
         if not _MAYBE.search(text):
             return text
 
-        def one(m: re.Match) -> str:
-            kind = m.lastgroup
-            new = getattr(self, kind)(m[0]) if kind in self.kinds else None
-            if new is None:
-                return m[0]
-            if counts is not None:
-                counts[kind] = counts.get(kind, 0) + 1
-            return new
-
-        return _PATTERN.sub(one, text)
+        out, done, at = [], 0, 0
+        while m := _PATTERN.search(text, at):
+            found = self._value(text, m.start())
+            if found is None:
+                at = m.start() + 1
+                continue
+            kind, at, new = found
+            if kind in self.kinds:
+                out += [text[done : m.start()], new]
+                done = at
+                if counts is not None:
+                    counts[kind] = counts.get(kind, 0) + 1
+        return "".join([*out, text[done:]])
+
+    def _candidates(self, text: str, start: int) -> Iterator[tuple[str, int, str]]:
+        """(kind, end, pseudonym) of the valid values that start there: by kind, the longest first."""
+        for kind, form in _FORM.items():
+            whole = form.match(text, start)
+            if whole is None:
+                continue
+            ends = [whole.end()]
+            if kind in _GREEDY:
+                ends += reversed([b.start() for b in _BOUNDARY.finditer(text, start + 1, whole.end()) if b.start() < whole.end()])
+            for end in ends:
+                if end == whole.end() or form.fullmatch(text, start, end):
+                    new = getattr(self, kind)(text[start:end])
+                    if new is not None:
+                        yield kind, end, new
+
+    def _value(self, text: str, start: int) -> tuple[str, int, str] | None:
+        """The value that starts there: the longest valid one that does not take a part of a value behind it."""
+        spare = None
+        for found in self._candidates(text, start):
+            kind, end, _ = found
+            if kind not in _GREEDY:
+                return found
+            taken = self._takes(text, start, end, kind)
+            if taken is None:
+                return found
+            if taken == end and spare is None:
+                spare = found
+        return spare
+
+    def _takes(self, text: str, start: int, end: int, kind: str) -> int | None:
+        """The end of a value that starts after a space inside text[start:end] and goes to its end or beyond."""
+        loose = kind != "card" or not _CARD_GROUPS.fullmatch(text, start, end)
+        for p in _AFTER_SPACE.finditer(text, start + 1, end):
+            for other, to, _ in self._candidates(text, p.start()):
+                if to >= end if other in _FIRM else to > end and (other == "ssn" or (loose and bool(_CARD_GROUPS.fullmatch(text, p.start(), to)))):
+                    return to
+        return None
 
 
 def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", kinds: tuple[str, ...] = KINDS, back: bool = False) -> DataFrame:

@@ -68,6 +68,26 @@ def test_values_that_fail_their_check_stay(text):
     assert Pseudonyms(KEY).replace(f"<{text}>") == f"<{text}>"
 
 
+@pytest.mark.parametrize("text, kept", [
+    ("4111 1111 1111 1111 12/26", " 12/26"), ("4111111111111111 100 EUR", " 100 EUR"), ("12 4111 1111 1111 1111 x", " x"),
+    ("DE89370400440532013000 12 items", " 12 items"), ("GB82WEST12345698765432 I paid", " I paid"),
+])
+def test_what_follows_a_value_does_not_hide_it(text, kept):
+    found = {}
+    out = Pseudonyms(KEY).replace(text, found)
+    value = text.removeprefix("12 ").removesuffix(kept)
+    assert sum(found.values()) == 1 and value not in out and out == text.replace(value, Pseudonyms(KEY).replace(value))
+
+
+def test_values_side_by_side():
+    tool = Pseudonyms(KEY)
+    assert tool.replace("+1 (826) 555-4081 190.137.223.204") == tool.replace("+1 (826) 555-4081") + " " + tool.replace("190.137.223.204")
+    values = [v for k in VALID for v in VALID[k]]
+    for a in values:
+        for b in values:
+            assert tool.replace(f"{a} {b}") == f"{tool.replace(a)} {tool.replace(b)}", (a, b)
+
+
 def test_frames(spark):
     rows = [(1, "mail a.b1@example.com", "x"), (2, None, "y"), (3, "", None), (None, "ip 8.8.8.8 " * 5000, "z"), (1, "mail a.b1@example.com", "x")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, n_replaced string")
