@@ -14,8 +14,7 @@ up for its documents.  What is gathered grows with the corpus.
 A document's score is its mean negative log-likelihood, drawn towards its
 language's mean by `PRIOR` symbols, so that short texts are not judged on chance.
 A language's threshold is a quantile of the scores of trusted documents that the
-counts did not see, plus `SLACK`; languages without such documents take the
-quantile of all.
+counts did not see; languages without such documents take the quantile of all.
 
 Defined results: a null or empty text has no symbols, a null perplexity, and is
 not kept; a null language is a language of its own; a null id is scored and never
@@ -41,9 +40,8 @@ ORDER = 5
 BITS = 12
 SYMBOLS = 1 << BITS
 BEGIN, END = 0, 1
-#: Symbols of the language's mean that are added to each document, and the slack on thresholds in nats per symbol.
+#: Symbols of the language's mean that are added to each document.
 PRIOR = 50
-SLACK = 0.15
 #: Text bytes of a chunk and of the parts it is worked through in; n-grams that a counting task holds.
 LM_CHUNK_BYTES = 16 << 20
 PART_BYTES = 4 << 20
@@ -269,7 +267,7 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = 0.98, holdou
     every = limits.where("any").select(F.col("mean").alias("mean_any"), F.col("most").alias("most_any"))
     joined = scores.join(own, F.col("lang").eqNullSafe(F.col("l")), "left").join(F.broadcast(every), how="left")  # one row
     drawn = _drawn(F.coalesce("mean", "mean_any", F.lit(math.log(SYMBOLS))))
-    limit = F.coalesce("most", "most_any") + SLACK
+    limit = F.coalesce("most", "most_any")
     some = F.col("n") > 0
     return joined.select(
         "id", "lang", F.col("n").alias("n_symbols"),

@@ -80,3 +80,13 @@ def test_held_out_accuracy(spark):
     scored = op1_quality_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
     rate = {(r.quality, r.toxic): r.k for r in scored.groupBy("quality", "toxic").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
     assert rate[1, 0] > 0.98 and rate[0, 0] < 0.15 and rate[0, 1] < 0.35
+
+
+def test_the_quantile_of_held_out_trusted_documents_decides(spark):
+    sf = "/root/testdata/sf0.01"
+    scored = op1_quality_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    held = F.pmod(F.xxhash64(F.lit("holdout"), "doc_id"), F.lit(1000)) < 250
+    for r in scored.where("quality = 1 AND toxic = 0").where(held).groupBy("lang").agg(F.avg(F.col("kept").cast("int")).alias("k"), F.count(F.lit(1)).alias("n"), F.max("threshold").alias("most"), F.max("score").alias("top")).collect():
+        assert 0.98 <= r.k and r.most <= r.top + 0.001, r
+    rate = {(r.quality, r.toxic): r.k for r in scored.groupBy("quality", "toxic").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
+    assert rate[1, 1] < 0.93 and rate[0, 0] < 0.07
