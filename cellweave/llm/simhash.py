@@ -4,8 +4,8 @@ Two uses share the index of ``hamming.py``:
 
 * ``simhash_classes``: 64-bit fingerprints of word shingles, linked at a few
   differing bits, exactly (pigeonhole routing, every link counts).
-* ``near_duplicate_classes``: wider fingerprints of five-word shingles, linked
-  where the differing bits say that the shingle similarity is 0.8 or more.
+* ``near_duplicate_classes``: wider fingerprints of five-word shingles find the
+  candidates; their shingle sets decide whether the similarity is 0.8 or more.
 
 Defined results: a null text has no words, so its fingerprint is zero, linked
 like any other; a null id is kept as a row of its own and never the smallest
@@ -118,18 +118,104 @@ def sampled_tables(n: int, similarity: float, missed: float = 0.01) -> list[list
     return out
 
 
+#: Standard deviations of the differing bits that candidates are taken beyond their mean at the threshold.
+MARGIN = 3.0
+#: Bytes of shingle digests that one side of a comparison holds; shingle bytes that a group of comparisons aims at.
+BLOCK_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
+
+
 def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, class_id): classes of documents whose shingle similarity is `similarity` or more.
+    """(id, class_id): classes of documents linked by a shingle similarity (Jaccard) of `similarity` or more.
 
-    Fingerprints have 256 bits, whose differing share estimates the similarity;
-    the radius lies 1.25 standard deviations beyond the share expected at the
-    threshold.  Exact copies always share a class.
+    Fingerprints of 256 bits find the candidates, at a radius of `MARGIN`
+    standard deviations beyond the differing share expected at the threshold;
+    a link needs the similarity of the shingle sets themselves.  Exact copies,
+    and texts without words, always share a class.
     """
     bits = 64 * WIDE
     share = bits_apart(similarity)
-    radius = int(bits * share + 1.25 * math.sqrt(bits * share * (1 - share)))
-    found = fingerprints(docs, doc_id, text, shingle, tuple(range(42, 42 + WIDE)))
-    return _classes(found, WIDE, radius, lambda n: sampled_tables(n, similarity)).select("id", "class_id")
+    radius = int(bits * share + MARGIN * math.sqrt(bits * share * (1 - share)))
+    seeds = tuple(range(42, 42 + WIDE))
+    named = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).select("id", F.unhex(F.md5("text")).alias("key"), "text")
+
+    def scan(batches):
+        for batch in batches:
+            prints = [fingerprint(t, shingle, seeds) for t in as_bytes(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.binary()), pa.array(prints, pa.binary())], names=["id", "key", "print"])
+
+    found = checkpointed(named.mapInArrow(scan, "id long, key binary, print binary"))
+    distinct = checkpointed(found.groupBy("key", "print").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
+    near = components(hamming.links(distinct.select("node", "print"), WIDE, radius, sampled_tables(distinct.count(), similarity)), "a", "b")
+    edges = _similar(named, distinct.join(near, "node").select("key", "print", "node", "root"), shingle, similarity, radius)
+    joined = distinct.join(components(edges, "a", "b"), "node", "left").select("key", "least", F.coalesce("root", "node").alias("root"))
+    least = joined.groupBy("root").agg(F.min("least").alias("class_id"))
+    return found.join(joined.join(least, "root").select("key", "class_id"), "key").select("id", "class_id")
+
+
+def _similar(named: DataFrame, members: DataFrame, shingle: int, similarity: float, radius: int) -> DataFrame:
+    """Edges (a, b) that connect the members of each candidate group (`root`) whose shingle sets are similar.
+
+    Groups of more than `BLOCK_BYTES` are dealt into blocks, and each pair of blocks is compared in a task of its own.
+    """
+
+    def digest(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_digests(t, shingle, (42,))[0].view(np.uint64)).tobytes() for t in as_bytes(batch.column(3))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], names=["node", "root", "print", "shingles"])
+
+    texts = named.groupBy("key").agg(F.first("text").alias("text"))
+    sets = checkpointed(texts.join(members, "key").select("node", "root", "print", "text").mapInArrow(digest, "node long, root long, print binary, shingles binary"))
+    sizes = sets.groupBy("root").agg(F.ceil(F.sum(F.octet_length("shingles") + 100) / BLOCK_BYTES).alias("blocks"))
+    dealt = sets.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("bucket", F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other"))).withColumn("cross", F.col("blocks") > 1)
+    total = sets.agg(F.sum(F.octet_length("shingles") + 100).alias("n")).first()["n"] or 0
+
+    def compare(table: pa.Table) -> pa.Table:
+        a, b = _compare(table.combine_chunks(), similarity, radius)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    groups = max(64, -(-total // GROUP_BYTES))
+    return dealt.select("bucket", "node", "print", "shingles", "block").groupBy(F.pmod("bucket", F.lit(groups))).applyInArrow(compare, "a long, b long")
+
+
+def _compare(table: pa.Table, similarity: float, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of each bucket that are within the radius and similar."""
+    index = hamming.GrayIndex(hamming.as_rows(table.column("print"), WIDE), table.column("bucket").to_numpy())
+    sets = [np.frombuffer(body, np.uint64) for body in table.column("shingles").take(pa.array(index.order)).to_pylist()]
+    node = table.column("node").to_numpy()[index.order]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, label = np.zeros(len(names), np.int32), np.arange(len(sets))
+    first = np.cumsum(index.sizes) - index.sizes
+    span = np.repeat(np.arange(len(first)), index.sizes)
+    a, b = [], []
+    for query, near in index.pairs(radius):
+        cut = np.flatnonzero(np.r_[True, query[1:] != query[:-1], True]) if len(query) else np.zeros(1, np.int64)
+        for x, y in zip(cut[:-1], cut[1:]):
+            q, others = query[x], near[x:y]
+            others = others[label[others] != label[q]]
+            # |A & B| / |A | B| is at most the smaller size over the larger.
+            others = others[np.minimum(sizes[others], sizes[q]) >= similarity * np.maximum(sizes[others], sizes[q]) * (1 - 1e-9)]
+            if not len(others):
+                continue
+            if not sizes[q]:
+                same = others  # neither has a word
+            else:
+                mark[flat[starts[q] : starts[q] + sizes[q]]] = 1
+                seen = mark[flat[hamming.expand(starts[others], sizes[others])]]
+                both = np.add.reduceat(seen, np.cumsum(sizes[others]) - sizes[others])
+                mark[flat[starts[q] : starts[q] + sizes[q]]] = 0
+                same = others[both / (sizes[others] + sizes[q] - both) >= similarity]
+            if len(same):
+                _, one = np.unique(label[same], return_index=True)
+                a += [node[q]] * len(one)
+                b += node[same[one]].tolist()
+                here = slice(first[span[q]], first[span[q]] + index.sizes[span[q]])
+                label[here][np.isin(label[here], label[same])] = label[q]
+    return np.array(a, np.int64), np.array(b, np.int64)
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -96,3 +96,37 @@ def test_near_duplicates_by_similarity(spark, changed, together):
     frame = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, "a b c"), (None, None)], "doc_id long, text string")
     got = {r.id: r.class_id for r in near_duplicate_classes(frame).collect()}
     assert (got[1] == got[2]) is together and got[3] == 3 and got[None] is None
+
+
+def similar_pairs(shingles, similarity, count):
+    """Pairs of texts whose five-word shingle sets have that Jaccard similarity, as nearly as their size allows; and the exact one."""
+    out = []
+    for k in range(count):
+        words = [f"p{k}n{shingles}s{similarity}w{i}" for i in range(shingles + 4)]
+        extra = round(shingles * (1 - similarity) / (1 + similarity))
+        # Other words at the end: each takes one shingle from either side.
+        other = words[: len(words) - extra] + [f"p{k}n{shingles}s{similarity}x{i}" for i in range(extra)]
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (words, other))
+        out.append((" ".join(words), " ".join(other), len(a & b) / len(a | b)))
+    return out
+
+
+def test_links_need_the_similarity_itself(spark):
+    pairs = [p for s in (0.65, 0.7, 0.75, 0.79, 0.8, 0.82, 0.85) for n in (153, 405) for p in similar_pairs(n, s, 40)]
+    rows = [(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)]
+    got = {r.id: r.class_id for r in near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = [got[2 * i] == got[2 * i + 1] for i in range(len(pairs))]
+    assert not any(k for k, p in zip(linked, pairs) if p[2] < 0.8)
+    true = [k for k, p in zip(linked, pairs) if p[2] >= 0.8]
+    assert len(true) >= 160 and np.mean(true) > 0.97
+
+
+def test_blocks_of_a_large_group_lose_no_link(spark, monkeypatch):
+    from cellweave.llm import simhash
+
+    words = [f"t{i}" for i in range(300)]
+    rows = [(i, " ".join(words[: 300 - i // 2] + [f"e{i}"])) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    one = sorted(near_duplicate_classes(frame).collect())
+    monkeypatch.setattr(simhash, "BLOCK_BYTES", 20_000)
+    assert sorted(near_duplicate_classes(frame).collect()) == one and {r.class_id for r in one} == {0}
