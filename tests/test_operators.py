@@ -330,6 +330,20 @@ def test_gate_gradient_and_round_trip(spark):
     assert all(np.allclose(local.parameters[k], spread.parameters[k], atol=1e-9) for k in local.parameters)
 
 
+def test_gate_is_the_same_at_any_size(spark):
+    rng = np.random.default_rng(6)
+    rows = [(*map(float, rng.random(6)), True, "train" if i < 12 else "validation", float(rng.random()), None if i % 5 == 0 else float(rng.random())) for i in range(40)]
+    schema = ", ".join(f"{f} double" for f in models.FEATURES) + ", eligible boolean, role string, target_protection double, target_restoration double"
+    frame = spark.createDataFrame(rows, schema).repartition(4)
+    config = {"epochs": 4, "dropout": 0.5}
+    local = models.train_gate(frame, config)
+    # Beyond the bound: the validation rows only, and all rows.
+    for bound in (20, 1):
+        other = models.train_gate(frame, config, driver_rows=bound)
+        assert all(np.allclose(local.parameters[k], other.parameters[k], atol=1e-9) for k in local.parameters)
+        assert np.allclose([list(h.values()) for h in local.history], [list(h.values()) for h in other.history], atol=1e-9)
+
+
 def test_zonal(spark):
     rows = spark.createDataFrame([(1, 0.9, 0.1), (1, 0.5, 0.5), (2, 0.1, 0.9)], "label int, a double, b double")
     got = {(r.label, r.predicted): (r.n, r.n_ties) for r in zonal.confusion(rows, "label", ["a", "b"]).collect()}
