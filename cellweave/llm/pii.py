@@ -4,17 +4,21 @@ Numbers and dates that validate are replaced by values of the same format: the
 value's digits (letters, for the user part of an address) are one integer of a
 finite domain, which a Feistel network permutes under a secret key, walking the
 cycle until the result falls inside the domain and validates again.  Equal
-values get equal pseudonyms in every document, whatever their separators;
-different values of a format stay different; the key holder can invert it.
+values get equal pseudonyms in every document, whatever their separators, and
+addresses whatever their case; different values of a format stay different; the
+key holder can invert it.
 
 Kinds, and what makes a candidate valid:
 
     card    13-19 digits, single spaces or hyphens between them, Luhn check
     iban    two letters, two check digits, 11-30 letters or digits, mod-97 check
     ssn     ddd-dd-dddd, no part zero, first not 666 or 9xx
-    phone   + and 8-15 digits in the usual groups
+    phone   + and 8-15 digits in the usual groups, of which the country code stays (and a
+            bracketed trunk zero); without +, (ddd) ddd-dddd of the North American plan
     ip      four octets up to 255
-    date    YYYY-MM-DD, YYYY/MM/DD, DD.MM.YYYY or DD/MM/YYYY in 1900-2099, on the calendar
+    date    YYYY-MM-DD (a time may follow after T), YYYY/MM/DD, DD.MM.YYYY or DD/MM/YYYY in
+            1900-2099, on the calendar; MM/DD/YYYY where the day is over 12 (such dates are
+            permuted among themselves)
     email   user@domain.tld: the user part is permuted
     secret  32-64 hexadecimal digits of one case, letters and digits among them
 
@@ -30,7 +34,7 @@ alone, and the way back may take it apart differently.
 Anything else that looks alike (a number that fails its check) is left as it is.
 
 Defined results: a null text stays null, an empty one empty; a text may be of
-any length; repeated values and rows get the same pseudonym; an empty table
+any length, in time that grows in proportion, whatever runs it holds; repeated values and rows get the same pseudonym; an empty table
 gives an empty result; `pseudonymise` returns every column of its input, and
 only the text changes.
 """
@@ -39,6 +43,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 
@@ -50,17 +55,21 @@ ROUNDS = 10
 KINDS = ("card", "iban", "ssn", "phone", "ip", "date", "email", "secret")
 
 _FORMS = {
-    "email": r"[\w.+-]*\w@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])",
-    "phone": r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{1,4}){2,6}(?!\w)",
+    "phone": r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{1,4}){2,6}(?!\w)|(?<![\w)])\([2-9]\d\d\) ?[2-9]\d\d-\d{4}(?![\w-])",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)(?![A-Za-z_])",
-    "date": r"(?<![\w/.-])(?:\d{4}(?P<a>[-/])\d{2}(?P=a)\d{2}|\d{2}(?P<b>[./])\d{2}(?P=b)\d{4})(?![\w/-])(?!\.\d)",
+    "date": r"(?<![\w/.-])(?:\d{4}(?P<a>[-/])\d{2}(?P=a)\d{2}|\d{2}(?P<b>[./])\d{2}(?P=b)\d{4})(?:(?=T\d)|(?![\w/-]))(?!\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])",
 }
 _PATTERN = re.compile("|".join(f"(?P<{k}>{form})" for k, form in _FORMS.items()), re.ASCII)
 _FORM = {k: re.compile(form, re.ASCII) for k, form in _FORMS.items()}
+#: An @ with its domain behind the last character of a user part, and the characters of user parts.
+_AT = re.compile(r"(?<=\w)@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}", re.ASCII)
+_USER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.+-")
+#: The telephone country codes of two digits; 1 and 7 have one, all others three.
+_TWO_DIGIT_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 #: Kinds whose form also takes what follows a value, and the kinds that a number before them must not take.
 _GREEDY = frozenset(("iban", "phone", "card"))
 _FIRM = frozenset(("email", "iban", "phone", "ip", "date"))
@@ -118,6 +127,30 @@ def _mod97(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
 
 
+class _Addresses:
+    """The addresses of a text, found from their @: each user part is walked once."""
+
+    def __init__(self, text: str):
+        self.signs, self.first, self.ends = [], [], []
+        for m in _AT.finditer(text):
+            start = m.start()
+            while start and text[start - 1] in _USER:
+                start -= 1
+            self.signs.append(m.start())
+            self.first.append(start)
+            self.ends.append(m.end())
+
+    def before(self, limit: int, at: int) -> int:
+        """Where the first address from `at` on starts, if before `limit`; else `limit`."""
+        k = bisect_right(self.signs, at)
+        return min(limit, max(at, self.first[k])) if k < len(self.signs) else limit
+
+    def end(self, start: int) -> int | None:
+        """The end of the address whose user part may start there."""
+        k = bisect_right(self.signs, start)
+        return self.ends[k] if k < len(self.signs) and self.first[k] <= start else None
+
+
 class Pseudonyms:
     """Replaces the values of a text; `back` restores them under the same key."""
 
@@ -178,13 +211,24 @@ class Pseudonyms:
         return _refill(text, f"{self._permute(int(digits), 10**9, 'ssn', valid):09d}")
 
     def phone(self, text: str) -> str | None:
-        digits = re.sub(r"\D", "", text)
-        code = re.match(r"\+(\d{1,3})(?=\D)", text)
-        keep = len(code[1]) if code else 1
-        rest = digits[keep:]
-        if not 8 <= len(digits) <= 15 or not rest:
+        """The country code stays; numbers that the North American plan allows are permuted among themselves."""
+        head, trunk, tail = text.partition("(0)") if text[0] == "+" else ("", "", text)
+        digits = re.sub(r"\D", "", head + tail)
+        full = digits if text[0] == "+" else "1" + digits
+        if not 8 <= len(full) <= 15:
             return None
-        return _refill(text, digits[:keep] + f"{self._permute(int(rest), 10 ** len(rest), f'phone|{digits[:keep]}|{len(rest)}'):0{len(rest)}d}")
+        code = full[:1] if full[0] in "17" else full[:2] if full[:2] in _TWO_DIGIT_CODES else full[:3]
+        rest = full[len(code) :]
+
+        def planned(v: int) -> bool:
+            s = f"{v:010d}"
+            return s[0] > "1" and s[3] > "1"
+
+        same = (lambda v, want=planned(int(rest)): planned(v) is want) if code == "1" and len(rest) == 10 else (lambda v: True)
+        rest = f"{self._permute(int(rest), 10 ** len(rest), f'phone|{code}|{len(rest)}', same):0{len(rest)}d}"
+        new = (code + rest if text[0] == "+" else rest)
+        cut = sum(c.isdigit() for c in head)
+        return _refill(head, new[:cut]) + trunk + _refill(tail, new[cut:])
 
     def ip(self, text: str) -> str | None:
         parts = [int(p) for p in text.split(".")]
@@ -198,19 +242,26 @@ class Pseudonyms:
         first = not text[2].isdigit()
         year, month, day = (digits[4:], digits[2:4], digits[:2]) if first else (digits[:4], digits[4:6], digits[6:])
         start, end = date(1900, 1, 1), date(2099, 12, 31)
+        american = first and text[2] == "/" and int(month) > 12
+        if american:
+            month, day = day, month
         try:
             value = date(int(year), int(month), int(day))
         except ValueError:
             return None
         if not start <= value <= end:
             return None
-        days = self._permute((value - start).days, (end - start).days + 1, "date")
+        late = (lambda v: (start + timedelta(days=v)).day > 12) if american else (lambda v: True)
+        days = self._permute((value - start).days, (end - start).days + 1, "date", late)
         value = start + timedelta(days=days)
+        if american:
+            return _refill(text, value.strftime("%m%d%Y"))
         return _refill(text, value.strftime("%d%m%Y") if first else value.strftime("%Y%m%d"))
 
     def email(self, text: str) -> str | None:
         user, _, domain = text.rpartition("@")
-        return f"{self._letters(user, 'email|' + domain.lower())}@{domain}"
+        new = self._letters(user.lower(), "email|" + domain.lower())
+        return "".join(n.upper() if c.isupper() else n for n, c in zip(new, user)) + "@" + domain
 
     def secret(self, text: str) -> str | None:
         if text.isdigit() or text.isalpha():
@@ -225,21 +276,25 @@ class Pseudonyms:
             return text
 
         out, done, at = [], 0, 0
-        while m := _PATTERN.search(text, at):
-            found = self._value(text, m.start())
+        mails = _Addresses(text)
+        while (start := mails.before(m.start() if (m := _PATTERN.search(text, at)) else len(text), at)) < len(text):
+            found = self._value(text, start, mails)
             if found is None:
-                at = m.start() + 1
+                at = start + 1
                 continue
             kind, at, new = found
             if kind in self.kinds:
-                out += [text[done : m.start()], new]
+                out += [text[done:start], new]
                 done = at
                 if counts is not None:
                     counts[kind] = counts.get(kind, 0) + 1
         return "".join([*out, text[done:]])
 
-    def _candidates(self, text: str, start: int) -> Iterator[tuple[str, int, str]]:
+    def _candidates(self, text: str, start: int, mails: _Addresses) -> Iterator[tuple[str, int, str]]:
         """(kind, end, pseudonym) of the valid values that start there: by kind, the longest first."""
+        end = mails.end(start)
+        if end is not None:
+            yield "email", end, self.email(text[start:end])
         for kind, form in _FORM.items():
             whole = form.match(text, start)
             if whole is None:
@@ -253,25 +308,25 @@ class Pseudonyms:
                     if new is not None:
                         yield kind, end, new
 
-    def _value(self, text: str, start: int) -> tuple[str, int, str] | None:
+    def _value(self, text: str, start: int, mails: _Addresses) -> tuple[str, int, str] | None:
         """The value that starts there: the longest valid one that does not take a part of a value behind it."""
         spare = None
-        for found in self._candidates(text, start):
+        for found in self._candidates(text, start, mails):
             kind, end, _ = found
             if kind not in _GREEDY:
                 return found
-            taken = self._takes(text, start, end, kind)
+            taken = self._takes(text, start, end, kind, mails)
             if taken is None:
                 return found
             if taken == end and spare is None:
                 spare = found
         return spare
 
-    def _takes(self, text: str, start: int, end: int, kind: str) -> int | None:
+    def _takes(self, text: str, start: int, end: int, kind: str, mails: _Addresses) -> int | None:
         """The end of a value that starts after a space inside text[start:end] and goes to its end or beyond."""
         loose = kind != "card" or not _CARD_GROUPS.fullmatch(text, start, end)
         for p in _AFTER_SPACE.finditer(text, start + 1, end):
-            for other, to, _ in self._candidates(text, p.start()):
+            for other, to, _ in self._candidates(text, p.start(), mails):
                 if to >= end if other in _FIRM else to > end and (other == "ssn" or (loose and bool(_CARD_GROUPS.fullmatch(text, p.start(), to)))):
                     return to
         return None
