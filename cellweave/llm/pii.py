@@ -74,7 +74,7 @@ _TWO_DIGIT_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48
 _GREEDY = frozenset(("iban", "phone", "card"))
 _FIRM = frozenset(("email", "iban", "phone", "ip", "date"))
 _BOUNDARY = re.compile(r"(?<=[A-Za-z0-9])(?![A-Za-z0-9_])", re.ASCII)
-_AFTER_SPACE = re.compile(r"(?<= )(?=\S)")
+_AFTER_SPACE = re.compile(r"(?<= )(?=[^\s(])")
 _CARD_GROUPS = re.compile(r"\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5}", re.ASCII)
 _MAYBE = re.compile(r"[0-9@]")
 
@@ -132,6 +132,7 @@ class _Addresses:
 
     def __init__(self, text: str):
         self.signs, self.first, self.ends = [], [], []
+        self.seen: dict[int, list[tuple[str, int]]] = {}  # (kind, end) of the values that start at a place
         for m in _AT.finditer(text):
             start = m.start()
             while start and text[start - 1] in _USER:
@@ -323,10 +324,18 @@ class Pseudonyms:
         return spare
 
     def _takes(self, text: str, start: int, end: int, kind: str, mails: _Addresses) -> int | None:
-        """The end of a value that starts after a space inside text[start:end] and goes to its end or beyond."""
+        """The end of a value that starts after a space inside text[start:end] and goes to its end or beyond.
+
+        A bracket inside a telephone number opens its area code, no number of its own.
+        """
         loose = kind != "card" or not _CARD_GROUPS.fullmatch(text, start, end)
         for p in _AFTER_SPACE.finditer(text, start + 1, end):
-            for other, to, _ in self._candidates(text, p.start(), mails):
+            behind = mails.seen.get(p.start())
+            if behind is None:
+                if len(mails.seen) > 1_000:
+                    mails.seen.clear()
+                behind = mails.seen[p.start()] = [(other, to) for other, to, _ in self._candidates(text, p.start(), mails)]
+            for other, to in behind:
                 if to >= end if other in _FIRM else to > end and (other == "ssn" or (loose and bool(_CARD_GROUPS.fullmatch(text, p.start(), to)))):
                     return to
         return None

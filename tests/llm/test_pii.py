@@ -97,3 +97,63 @@ def test_frames(spark):
     got = sorted((str(r.id), r.n_replaced, r.n_email, r.n_ip) for r in report(frame, KEY).collect())
     assert got == [("1", 1, 1, 0), ("1", 1, 1, 0), ("2", 0, 0, 0), ("3", 0, 0, 0), ("None", 5000, 0, 5000)]
     assert pseudonymise(frame.limit(0), KEY).count() == 0 and report(frame.limit(0), KEY).count() == 0
+
+
+@pytest.mark.parametrize("a, b", [
+    ("+49 170 1234567", "+491701234567"), ("+49 (0)30 1234567", "+49301234567"), ("+1 (743) 555-3824", "(743) 555-3824"),
+    ("+1 (743) 555-3824", "+17435553824"), ("+353 1 234 5678", "+35312345678"),
+])
+def test_telephone_numbers_link_whatever_their_separators(a, b):
+    digits = lambda s: re.sub(r"\D", "", s.replace("(0)", ""))
+    x, y = digits(Pseudonyms(KEY).replace(a)), digits(Pseudonyms(KEY).replace(b))
+    assert x.endswith(y) or y.endswith(x)
+    assert x != digits(a) and Pseudonyms(KEY, back=True).replace(Pseudonyms(KEY).replace(a)) == a
+
+
+def test_addresses_link_whatever_their_case():
+    tool = Pseudonyms(KEY)
+    assert tool.replace("Ann.Lee@Example.COM").lower() == tool.replace("ann.lee@example.com")
+    assert Pseudonyms(KEY, back=True).replace(tool.replace("Ann.Lee@Example.COM")) == "Ann.Lee@Example.COM"
+    assert tool.replace("é.a@b.example.org, @x.org a@b.c") == tool.replace("é.a@b.example.org") + ", @x.org a@b.c"
+
+
+@pytest.mark.parametrize("text", ["1/5/2020", "13/13/2020", "02/30/2020", "2024-1-05"])
+def test_other_dates_stay(text):
+    assert Pseudonyms(KEY).replace(text) == text
+
+
+def test_dates_before_a_time_and_month_first():
+    tool = Pseudonyms(KEY)
+    assert tool.replace("2024-01-05T10:00") == tool.replace("2024-01-05") + "T10:00"
+    out = tool.replace("12/25/2020")
+    assert out != "12/25/2020" and int(out[3:5]) > 12 and int(out[:2]) <= 12
+    assert Pseudonyms(KEY, back=True).replace(out) == "12/25/2020"
+
+
+@pytest.mark.parametrize("run", ["a" * 1_000_000, "a.b-" * 250_000, "1" * 1_000_000, "1 " * 50_000, "ab@" * 300_000, "a@b-" * 250_000, "+1 " * 300_000, "DE12 " * 50_000, "a@" + "b." * 400_000, "f0" * 500_000])
+def test_long_runs_take_time_in_proportion(run):
+    import time
+
+    tool, spent = Pseudonyms(KEY), []
+    for n in (len(run) // 8, len(run)):
+        start = time.process_time()
+        tool.replace("x 1 " + run[:n])
+        spent.append(time.process_time() - start)
+    assert spent[1] < 16 * spent[0] + 2, spent
+
+
+def test_against_a_plain_scanner():
+    """Each sentence's values are those that were put there, told apart by a scanner over words."""
+    import random
+
+    rnd, tool = random.Random(5), Pseudonyms(KEY)
+    pool = [v for k in VALID for v in VALID[k]]
+    fillers = ["so", "then,", "12", "the", "é", "x9", "no.", "(", "and"]
+    for _ in range(400):
+        parts, want = [], []
+        for _ in range(rnd.randint(1, 12)):
+            value = rnd.choice(pool) if rnd.random() < 0.4 else None
+            word = value or rnd.choice(fillers[:2] + fillers[3:])
+            parts.append(word + ";")
+            want.append((tool.replace(value) if value else word) + ";")
+        assert tool.replace(" ".join(parts)) == " ".join(want)
