@@ -195,7 +195,7 @@ def links(prints: DataFrame, words: int, radius: int, tables: list[list[int]], b
     a dense group of m gives fewer than m edges.  Tables that cover the
     fingerprint with radius + 1 disjoint blocks make the result exact.
     """
-    n = prints.count()
+    n = prints.count() * len(tables)
     rows = keyed(prints, words, tables)
     used = {str(t): positions for t, positions in enumerate(tables)}
     out = None
@@ -204,13 +204,13 @@ def links(prints: DataFrame, words: int, radius: int, tables: list[list[int]], b
         narrow = all(len(positions) + radius + 1 < words * 64 for positions in used.values())
         hot = checkpointed(hot) if narrow and n > bucket else None
         if hot is None or hot.isEmpty():
-            found = _joined(rows, words, radius, max(64, -(-n * len(used) // group_rows)))
+            found = _joined(rows, words, radius, max(64, -(-n // group_rows)))
             return found if out is None else out.unionByName(found)
-        found = _joined(rows.join(hot, "bucket", "left_anti"), words, radius, max(64, -(-n * len(used) // group_rows)))
+        found = _joined(rows.join(hot, "bucket", "left_anti"), words, radius, max(64, -(-n // group_rows)))
         out = found if out is None else out.unionByName(found)
         rows, used = _split(rows.join(hot, "bucket", "left_semi"), words, used, radius)
         rows = checkpointed(rows)
-        n = bucket + 1
+        n = rows.count()
 
 
 def _joined(rows: DataFrame, words: int, radius: int, groups: int) -> DataFrame:
