@@ -133,6 +133,13 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     a link needs the similarity of the shingle sets themselves.  Exact copies,
     and texts without words, always share a class.
     """
+    found, joined = _near(docs, doc_id, text, shingle, similarity)
+    least = joined.groupBy("root").agg(F.min("least").alias("class_id"))
+    return found.join(joined.join(least, "root").select("key", "class_id"), "key").select("id", "class_id")
+
+
+def _near(docs: DataFrame, doc_id: str, text: str, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(id, key, print) of each row, `key` a digest of its text; (key, least id, root) of each text."""
     bits = 64 * WIDE
     share = bits_apart(similarity)
     radius = int(bits * share + MARGIN * math.sqrt(bits * share * (1 - share)))
@@ -148,9 +155,7 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     distinct = checkpointed(found.groupBy("key", "print").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
     near = components(hamming.links(distinct.select("node", "print"), WIDE, radius, sampled_tables(distinct.count(), similarity)), "a", "b")
     edges = _similar(named, distinct.join(near, "node").select("key", "print", "node", "root"), shingle, similarity, radius)
-    joined = distinct.join(components(edges, "a", "b"), "node", "left").select("key", "least", F.coalesce("root", "node").alias("root"))
-    least = joined.groupBy("root").agg(F.min("least").alias("class_id"))
-    return found.join(joined.join(least, "root").select("key", "class_id"), "key").select("id", "class_id")
+    return found, distinct.join(components(edges, "a", "b"), "node", "left").select("key", "least", F.coalesce("root", "node").alias("root"))
 
 
 def _similar(named: DataFrame, members: DataFrame, shingle: int, similarity: float, radius: int) -> DataFrame:
@@ -166,8 +171,8 @@ def _similar(named: DataFrame, members: DataFrame, shingle: int, similarity: flo
 
     texts = named.groupBy("key").agg(F.first("text").alias("text"))
     sets = checkpointed(texts.join(members, "key").select("node", "root", "print", "text").mapInArrow(digest, "node long, root long, print binary, shingles binary"))
-    sizes = sets.groupBy("root").agg(F.ceil(F.sum(F.octet_length("shingles") + 100) / BLOCK_BYTES).alias("blocks"))
-    dealt = sets.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    sizes = sets.groupBy("root").agg(F.ceil(F.sum(F.octet_length("shingles") + 100) / BLOCK_BYTES).alias("blocks")).where("blocks > 1")
+    dealt = sets.join(sizes, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("bucket", F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other"))).withColumn("cross", F.col("blocks") > 1)
     total = sets.agg(F.sum(F.octet_length("shingles") + 100).alias("n")).first()["n"] or 0
@@ -219,13 +224,22 @@ def _compare(table: pa.Table, similarity: float, radius: int) -> tuple[np.ndarra
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The documents with the smallest id of each near-duplicate class, with all of their columns.
+    """One document of each near-duplicate class, with all of its columns.
 
-    Of rows with equal ids the one with the least text stays.  Documents without
-    an id are kept: no class can name them.
+    The smallest id stays, and a document without an id only where its class has
+    none; of different texts with that id (or none) the one with the least MD5.
+    Rows are told apart by id and text, so different texts that share an id all
+    stay; of repeated rows the one whose columns have the least hash stays.
     """
-    kept = near_duplicate_classes(docs, doc_id, text, shingle, similarity).where("id = class_id").select(F.col("id").alias("__kept_id")).distinct()
-    named = docs.join(kept, F.col(doc_id).cast("long") == F.col("__kept_id"), "left_semi")
-    order = Window.partitionBy(doc_id).orderBy(F.col(text))
-    first = named.withColumn("__kept_row", F.row_number().over(order)).where("__kept_row = 1").select(*docs.columns)
-    return first.unionByName(docs.where(F.col(doc_id).isNull()))
+    found, joined = _near(docs, doc_id, text, shingle, similarity)
+    of_class = joined.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("nameless"), F.col("least").alias("id"), "key")).alias("first"))
+    rows = found.groupBy("id", "key").agg(F.count(F.lit(1)).alias("rows"))
+    firsts = of_class.select(F.col("first.id").alias("__id"), F.col("first.key").alias("__key"))
+    kept = rows.join(firsts, F.col("id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")), "left_semi")
+    kept = checkpointed(kept.select(F.col("id").alias("__kept_id"), F.col("key").alias("__kept_key"), F.col("rows").alias("__kept_rows")))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("__kept_id")) & (F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))) == F.col("__kept_key"))
+    once = docs.join(kept.where("__kept_rows = 1"), same, "left_semi")
+    # Only repeated rows are sorted, and each partition keeps one of each.
+    order = Window.partitionBy("__kept_id", "__kept_key").orderBy(F.xxhash64(*(n for n, t in docs.dtypes if "map<" not in t and "variant" not in t)))
+    often = docs.join(kept.where("__kept_rows > 1"), same).withColumn("__kept_row", F.row_number().over(order)).where("__kept_row = 1")
+    return once.unionByName(often.select(*docs.columns))

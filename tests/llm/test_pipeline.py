@@ -54,9 +54,9 @@ def test_near_duplicate_stage_against_brute_force(stages):
             if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 a, b = root[i], root[j]
                 root = [b if r == a else r for r in root]
-    want = {min(d for (d, _), r in zip(docs, root) if r == g and d is not None) for g in set(root) if any(d is not None for (d, _), r in zip(docs, root) if r == g)}
-    got = [r.doc_id for r in stages[1].collect()]
-    assert sorted(d for d in got if d is not None) == sorted(want) and got.count(None) == sum(d is None for d, _ in docs)
+    first = lambda ids: min((d for d in ids if d is not None), default=None)
+    want = [first([d for (d, _), r in zip(docs, root) if r == g]) for g in set(root)]
+    assert sorted(map(str, (r.doc_id for r in stages[1].collect()))) == sorted(map(str, want))
 
 
 def test_columns_personal_data_and_mixture(stages):

@@ -4,7 +4,7 @@ import xxhash
 
 from cellweave.llm import hamming
 from cellweave.llm.components import components
-from cellweave.llm.simhash import near_duplicate_classes, simhash_classes
+from cellweave.llm.simhash import drop_near_duplicates, near_duplicate_classes, simhash_classes
 
 
 def brute_print(text, shingle=3):
@@ -79,6 +79,21 @@ def test_hot_buckets_are_split_without_loss(spark):
     assert classes(40) == classes(10_000)
 
 
+def test_groups_follow_the_rows_in_every_round(spark, monkeypatch):
+    """Also after a split no group aims at more than `group_rows` rows."""
+    values = [(i << 30) | (i % 7) for i in range(700)]
+    frame = spark.createDataFrame([(i, v.to_bytes(8, "big")) for i, v in enumerate(values)], "node long, print binary")
+    seen, joined = [], hamming._joined
+
+    def watch(rows, words, radius, groups):
+        seen.append((rows.count(), groups))
+        return joined(rows, words, radius, groups)
+
+    monkeypatch.setattr(hamming, "_joined", watch)
+    hamming.links(frame, 1, 2, hamming.blocks(64, 3), bucket=300, group_rows=5).count()
+    assert len(seen) > 1 and all(n <= 5 * groups for n, groups in seen) and seen[-1][1] > 64
+
+
 def test_components_and_empty(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 9), (10, 11), (7, 7), (None, 1)], "a long, b long")
     got = {(r.node, r.root) for r in components(edges, "a", "b").collect()}
@@ -130,3 +145,15 @@ def test_blocks_of_a_large_group_lose_no_link(spark, monkeypatch):
     one = sorted(near_duplicate_classes(frame).collect())
     monkeypatch.setattr(simhash, "BLOCK_BYTES", 20_000)
     assert sorted(near_duplicate_classes(frame).collect()) == one and {r.class_id for r in one} == {0}
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    """Different texts with one id stay; copies go, with or without an id; one of repeated rows stays."""
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(100))
+    rows = [(1, text("a"), 0), (1, text("b"), 1), (2, text("c"), 2), (None, text("d"), 3), (None, text("d"), 4), (None, text("d") + " end", 5), (None, text("a"), 6), (3, text("e"), 7), (3, text("e"), 7), (5, text("c"), 8), (4, text("c") + " x", 9)]
+    frame = spark.createDataFrame([(*r, {"k": r[0]}, None) for r in rows], "doc_id long, text string, key int, root map<string,long>, rows int")
+    kept = drop_near_duplicates(frame)
+    assert kept.columns == frame.columns
+    got = sorted(((r.doc_id, r.text.split("w")[0]) for r in kept.collect()), key=str)
+    assert got == sorted([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (3, "e")], key=str)
+    assert drop_near_duplicates(frame.limit(0)).count() == 0
