@@ -1,26 +1,32 @@
 """Mixing sources to target weights by entropy balancing.
 
-Rates r(d) are chosen to change the documents' token mass as little as possible
-(in relative entropy to a rate of one) while the tokens of every source, and of
+Rates r(d) are chosen as near to one as possible (in relative entropy, summed
+over the documents, none above `most`) while the tokens of every source, and of
 any further moment that is asked for, meet their targets.  The convex dual has
-one multiplier for each constraint, and its optimum is an exponential tilt:
-
-    r(d) = exp(source multiplier + sum of moment multipliers * moment(d))
-
-Newton's method minimises the dual.  Documents with equal constraint values are
-added up first; each iteration is one distributed aggregation of that table by
-source (mass, moment sums, moment products), and the driver solves the block
-arrow system of sources and a handful of moments.  The rates are then rounded
-into copies by error diffusion, in groups of bounded size that are drawn from a
-source by hash: from the largest document to the smallest, each takes the
-number of whole copies that brings the group's tokens nearest to its share.
+one multiplier for each constraint, and its optimum is an exponential tilt by
+what the document brings to the constraints:
+
+    r(d) = min(most, exp(size * (source multiplier + sum of moment multipliers * moment(d))))
+
+so a source that must shrink gives up its long documents first, and one that
+must grow repeats them first.  Newton's method minimises the dual.  Documents
+with equal constraint values are added up first; each iteration is one
+distributed aggregation of that table by source (dual, tokens, curvature), and
+the driver solves the block arrow system of sources and a handful of moments.
+Without moments the sources part, and a step that leaves a source's bracket is
+replaced by bisection; with them a step that does not lower the dual is halved.
+The rates are then rounded into copies by error
+diffusion, in groups of bounded size that are drawn from a source by hash: from
+the largest document to the smallest, each takes the number of whole copies
+that brings the group's tokens nearest to its share.
 
 The driver holds one row for each source (a mixture's configuration), never one
 for each document.
 
 Defined results: a null text has size 0 and is taken 0 times; a null source is
-a source of its own, the last in order; equal documents get rates of their own;
-an empty table gives an empty result; further columns are not read.
+a source of its own, the last in order; of equal rows each gets a number of
+copies of its own, and they are dealt to many groups; an empty table gives an
+empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -58,59 +64,92 @@ def targets_for(sizes: Sequence[int], weights: Sequence[float], most: float = 3.
     return [most * s for s in sizes]
 
 
-def balance(table: DataFrame, targets: dict, moments: dict[str, float] | None = None, tolerance: float = 1e-9, rounds: int = 60) -> tuple[dict, dict[str, float]]:
-    """Multipliers of the sources and moments for (source, mass[, moments...]).
+#: Share of the expected decrease that a step must reach; halvings of a step; share of its bound below which the curvature counts as none.
+ARMIJO, HALVINGS, FLOOR = 1e-4, 40, 1e-9
+
+
+def balance(table: DataFrame, targets: dict, moments: dict[str, float] | None = None, most: float = 3.0, tolerance: float = 1e-9, rounds: int = 100) -> tuple[dict, dict[str, float]]:
+    """Multipliers of the sources and moments for (source, mass[, moments...]), one row for each document.
 
-    `targets` has the tokens wanted of each source (zero: none are taken), and
-    `moments` the wanted sum of rate * mass * column for each named column.
+    `targets` has the tokens wanted of each source (zero: none are taken;
+    `most` times all or more: all are taken `most` times), and `moments` the
+    wanted sum of rate * mass * column for each named column.
     """
     names = list(moments or {})
-    wanted = np.array([(moments or {})[n] for n in names])
+    wanted = np.array([(moments or {})[n] for n in names], float)
     sources = list(targets)
     index = {s: i for i, s in enumerate(sources)}
     goal = np.array([targets[s] for s in sources], float)
-    lines = table.groupBy("source", *names).agg(F.sum("mass").alias("mass"))
-    lines = checkpointed(lines) if names else lines
-    alpha, beta = np.zeros(len(sources)), np.zeros(len(names))
-
-    def sums(beta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per source at alpha = 0: mass, moment sums; and moment products."""
-        tilt = F.exp(sum((F.lit(float(b)) * F.col(n) for b, n in zip(beta, names)), F.lit(0.0)))
-        m = F.col("mass").cast("double") * tilt
-        first = [F.sum(m * F.col(n)).alias(f"f{i}") for i, n in enumerate(names)]
-        second = [F.sum(m * F.col(a) * F.col(b)).alias(f"s{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names)]
-        rows = lines.groupBy("source").agg(F.sum(m).alias("m"), *first, *second).collect()
-        mass, one, two = np.zeros(len(sources)), np.zeros((len(sources), len(names))), np.zeros((len(sources), len(names), len(names)))
-        for r in rows:
-            i = index[r["source"]]
-            mass[i] = r["m"]
-            one[i] = [r[f"f{k}"] for k in range(len(names))]
-            two[i] = [[r[f"s{a}_{b}"] for b in range(len(names))] for a in range(len(names))]
-        return mass, one, two
-
-    live = goal > 0
-    at, stale = None, True
+    lines = checkpointed(table.groupBy("source", "mass", *names).agg(F.count(F.lit(1)).alias("n")))
+    spark = table.sparkSession
+    k = len(names)
+
+    def sums(alpha: np.ndarray, beta: np.ndarray) -> dict[str, np.ndarray]:
+        """Per source: the dual's document part, tokens, moment sums, and curvature (true, and its bound)."""
+        held = spark.createDataFrame([(s, float(a)) for s, a in zip(sources, alpha)], "of string, multiplier double")
+        x = F.col("mass").cast("double")
+        u = x * sum((F.lit(float(b)) * F.col(n) for b, n in zip(beta, names)), F.col("multiplier"))
+        top = math.log(most)
+        rate = F.exp(F.least(u, F.lit(top)))
+        value = rate + F.lit(most) * F.greatest(u - top, F.lit(0.0))
+        unit = [F.lit(1.0), *(F.col(n) for n in names)]
+        free = F.when(u < top, rate).otherwise(0.0)
+        found = [F.sum(F.col("n") * value).alias("value")]
+        found += [F.sum(F.col("n") * rate * x * v).alias(f"g{i}") for i, v in enumerate(unit)]
+        for name, weight in (("h", free), ("b", rate)):
+            found += [F.sum(F.col("n") * weight * x * x * unit[i] * unit[j]).alias(f"{name}{i}_{j}") for i in range(k + 1) for j in range(i, k + 1)]
+        out = {"value": np.zeros(len(sources)), "g": np.zeros((len(sources), k + 1)), "h": np.zeros((len(sources), k + 1, k + 1)), "b": np.zeros((len(sources), k + 1, k + 1))}
+        for r in lines.join(held, F.col("source").eqNullSafe(F.col("of"))).groupBy("source").agg(*found).collect():
+            s = index[r["source"]]
+            out["value"][s] = r["value"]
+            out["g"][s] = [r[f"g{i}"] for i in range(k + 1)]
+            for name in ("h", "b"):
+                out[name][s] = [[r[f"{name}{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)]
+        return out
+
+    # At the multiplier log(most) every document of at least one token is at the cap.
+    size = {r["source"]: float(r["m"]) for r in lines.groupBy("source").agg(F.sum(F.col("n") * F.col("mass")).alias("m")).collect()}
+    full = np.array([goal[i] >= most * size.get(s, 0.0) * (1 - 1e-12) for i, s in enumerate(sources)], bool)
+    live = (goal > 0) & ~full
+    alpha, beta = np.where(full, 1e3, np.where(live, 0.0, -1e3)), np.zeros(k)
+    scale = max(1.0, goal.sum())
+
+    def dual(at: dict, alpha: np.ndarray, beta: np.ndarray) -> float:
+        return float((at["value"] - np.where(live, alpha * goal, 0.0)).sum() - beta @ wanted)
+
+    # Without moments each source has a bracket: documents have at least one token.
+    share_of = np.array([goal[i] / size[s] if size.get(s) else 1.0 for i, s in enumerate(sources)])
+    low, high = np.where(live, np.log(np.clip(share_of, 1e-300, 1.0)), 0.0), np.full(len(sources), math.log(most))
+    at = sums(alpha, beta)
     for _ in range(rounds):
-        if stale:
-            at, stale = sums(beta), False
-        scale = np.where(live, np.exp(alpha), 0.0)
-        mass, one, two = at[0] * scale, at[1] * scale[:, None], at[2] * scale[:, None, None]
-        miss_s, miss_m = np.where(live, goal - mass, 0.0), wanted - one.sum(axis=0)
-        size = max(1.0, goal.sum())
-        if np.abs(miss_s).max(initial=0) <= tolerance * size and np.abs(miss_m).max(initial=0) <= tolerance * max(size, np.abs(wanted).max(initial=0)):
+        miss_s = np.where(live, goal - at["g"][:, 0], 0.0)
+        miss_m = wanted - at["g"][:, 1:].sum(axis=0)
+        if np.abs(miss_s).max(initial=0) <= tolerance * scale and np.abs(miss_m).max(initial=0) <= tolerance * max(scale, np.abs(wanted).max(initial=0)):
             break
-        inverse = np.where(mass > 0, 1 / np.where(mass > 0, mass, 1), 0.0)
-        if names:
-            schur = two.sum(axis=0) - np.einsum("si,s,sj->ij", one, inverse, one)
-            step_m = np.linalg.lstsq(schur, miss_m - one.T @ (inverse * miss_s), rcond=None)[0]
-        else:
-            step_m = np.zeros(0)
-        step_s = inverse * (miss_s - one @ step_m)
-        # Damping keeps the first steps inside the region where the exponentials are tame.
-        damp = min(1.0, 2.0 / max(np.abs(step_s).max(initial=0), np.abs(step_m).max(initial=0), 1e-300))
-        alpha, beta = alpha + damp * step_s, beta + damp * step_m
-        stale = bool(names)
-    return dict(zip(sources, np.where(live, alpha, -math.inf).tolist())), dict(zip(names, beta.tolist()))
+        if not k:
+            low, high = np.where(live & (miss_s > 0), alpha, low), np.where(live & (miss_s < 0), alpha, high)
+            slope = at["h"][:, 0, 0]
+            newton = alpha + np.where(slope > 0, miss_s / np.where(slope > 0, slope, 1.0), np.inf)
+            stepped = np.where((low < newton) & (newton < high), newton, (low + high) / 2)
+            alpha = np.where(live & (miss_s != 0), stepped, alpha)
+            at = sums(alpha, beta)
+            continue
+        # Where nearly all documents are at the cap, the bound of the curvature keeps the step finite.
+        curved = at["h"] + np.where(at["h"][:, 0, 0] < FLOOR * at["b"][:, 0, 0], 1.0, 0.0)[:, None, None] * at["b"]
+        main = curved[:, 0, 0]
+        inverse = np.where(live & (main > 0), 1 / np.where(main > 0, main, 1), 0.0)
+        cross = curved[:, 0, 1:]
+        schur = curved[:, 1:, 1:].sum(axis=0) - np.einsum("si,s,sj->ij", cross, inverse, cross)
+        step_m = np.linalg.lstsq(schur, miss_m - cross.T @ (inverse * miss_s), rcond=None)[0]
+        step_s = inverse * (miss_s - cross @ step_m)
+        gain, now, share = step_s @ miss_s + step_m @ miss_m, dual(at, alpha, beta), 1.0
+        for _ in range(HALVINGS):
+            trial = sums(alpha + share * step_s, beta + share * step_m)
+            if dual(trial, alpha + share * step_s, beta + share * step_m) <= now - ARMIJO * share * gain + 1e-12 * (1 + abs(now)):
+                break
+            share /= 2
+        alpha, beta, at = alpha + share * step_s, beta + share * step_m, trial
+    return dict(zip(sources, np.where(goal > 0, alpha, -math.inf).tolist())), dict(zip(names, beta.tolist()))
 
 
 def round_to_copies(size: np.ndarray, rate: np.ndarray, most: int) -> np.ndarray:
@@ -135,7 +174,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, do
     Sources in code point order, null last, take the weights in turn; targets
     share the total size and stop at `most` times the source's own.  `moments`
     adds constraints: a named expression of the document and the wanted mean of
-    it over the mixed tokens; rates stop at `most` then too.
+    it over the mixed tokens.
     """
     extra = moments or {}
     sized = docs.select(
@@ -153,21 +192,27 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, do
         sized.where("size > 0").withColumnRenamed("size", "mass"),
         {r["source"]: t for r, t in zip(totals, targets) if r["size"]},
         {n: mean * sum(targets) for n, (_, mean) in extra.items()},
+        most,
     )
-    rows = [(r["source"], s, float(t), math.exp(alpha.get(r["source"], -math.inf)), max(1, -(-r["n"] // GROUP))) for r, s, t in zip(totals, sizes, targets)]
+    rows = [(r["source"], s, float(t), alpha.get(r["source"], -math.inf), max(1, -(-r["n"] // GROUP))) for r, s, t in zip(totals, sizes, targets)]
     # One row for each source: Spark broadcasts it where it is small and shuffles it where it is not.
     spec = docs.sparkSession.createDataFrame(rows, "of string, source_size long, target double, base double, parts long")
-    tilt = F.exp(sum((F.lit(b) * F.col(n) for n, b in beta.items()), F.lit(0.0))) if beta else F.lit(1.0)
-    rated = sized.join(spec, F.col("source").eqNullSafe(F.col("of"))).select(
+    tilt = sum((F.lit(b) * F.col(n) for n, b in beta.items()), F.col("base"))
+    # Equal rows are counted first and dealt to the groups by the thousand, so none is hot.
+    equal = sized.groupBy("id", "size", "source", *extra).agg(F.count(F.lit(1)).alias("n"))
+    lots = equal.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / GROUP))))
+    lots = lots.withColumn("n", F.least(F.col("n") - F.col("lot") * GROUP, F.lit(GROUP)))
+    rated = lots.join(spec, F.col("source").eqNullSafe(F.col("of"))).select(
         "id", "size", "source", "source_size", "target",
-        F.least(F.col("base") * tilt, F.lit(float(most))).alias("rate"),
-        F.pmod(F.xxhash64("id", "size"), "parts").alias("part"),
+        F.when(F.col("size") > 0, F.exp(F.least(F.col("size") * tilt, F.lit(math.log(most))))).otherwise(0.0).alias("rate"),
+        F.pmod(F.xxhash64("id", "size", "lot"), "parts").alias("part"), "n",
     )
 
     def give(table):
-        order = table.sort_by([("size", "descending"), ("id", "ascending")])
+        order = table.sort_by([("size", "descending"), ("id", "ascending"), ("rate", "ascending")])
+        order = order.take(pa.array(np.repeat(np.arange(len(order)), order.column("n").to_numpy())))
         copies = round_to_copies(order.column("size").to_numpy(), order.column("rate").to_numpy(), most)
-        return order.drop_columns(["part"]).append_column("copies", pa.array(copies))
+        return order.drop_columns(["part", "n"]).append_column("copies", pa.array(copies))
 
     return rated.groupBy(F.col("source"), F.col("part")).applyInArrow(give, "id long, size long, source string, source_size long, target double, rate double, copies long")
 

@@ -52,12 +52,49 @@ def test_mix_meets_targets_and_reruns_agree(spark):
     assert out.columns == docs.columns and out.count() == mixed.agg(F.sum("copies")).first()[0]
 
 
+def plain_multiplier(sizes, target, most=3.0):
+    """The dual of one source by bisection."""
+    lo, hi = -100.0, math.log(most)
+    for _ in range(300):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(s * math.exp(min(s * mid, math.log(most))) for s in sizes) < target else (lo, mid)
+    return (lo + hi) / 2
+
+
+@pytest.mark.parametrize("share", [0.001, 0.3, 1.0, 1.7, 2.9, 2.9999])
+def test_newton_against_bisection(spark, share):
+    rng = np.random.default_rng(4)
+    sizes = {"a": [int(x) for x in np.exp(rng.normal(5, 1.5, 300)) + 1], "b": [7] * 50, None: [1, 20_000]}
+    table = spark.createDataFrame([(s, x) for s, xs in sizes.items() for x in xs], "source string, mass long")
+    targets = {s: share * sum(xs) for s, xs in sizes.items()}
+    alpha, _ = balance(table, targets)
+    for s, xs in sizes.items():
+        got = sum(x * math.exp(min(x * alpha[s], math.log(3))) for x in xs)
+        assert got == pytest.approx(targets[s], rel=1e-5), s
+        assert alpha[s] == pytest.approx(plain_multiplier(xs, targets[s]), rel=1e-3, abs=1e-7), s
+    alpha, _ = balance(table, {"a": 0.0, "b": 3.0 * 350, None: 5.0})
+    assert alpha["a"] == -math.inf and 7 * alpha["b"] >= math.log(3)
+
+
 def test_newton_meets_moments(spark):
     rng = np.random.default_rng(3)
     rows = [(["a", "b"][i % 2], int(rng.integers(1, 50)), float(rng.random())) for i in range(400)]
     table = spark.createDataFrame(rows, "source string, mass long, x double")
     alpha, beta = balance(table, {"a": 9000.0, "b": 3000.0}, {"x": 12000 * 0.62})
-    rate = lambda s, x: math.exp(alpha[s] + beta["x"] * x)
-    assert sum(m * rate(s, x) for s, m, x in rows if s == "a") == pytest.approx(9000, rel=1e-6)
-    assert sum(m * rate(s, x) for s, m, x in rows if s == "b") == pytest.approx(3000, rel=1e-6)
-    assert sum(m * x * rate(s, x) for s, m, x in rows) == pytest.approx(12000 * 0.62, rel=1e-6)
+    rate = lambda s, m, x: min(3.0, math.exp(m * (alpha[s] + beta["x"] * x)))
+    assert sum(m * rate(s, m, x) for s, m, x in rows if s == "a") == pytest.approx(9000, rel=1e-6)
+    assert sum(m * rate(s, m, x) for s, m, x in rows if s == "b") == pytest.approx(3000, rel=1e-6)
+    assert sum(m * x * rate(s, m, x) for s, m, x in rows) == pytest.approx(12000 * 0.62, rel=1e-6)
+
+
+def test_equal_rows_are_dealt_to_many_groups(spark, monkeypatch):
+    from cellweave.llm import mixing
+
+    monkeypatch.setattr(mixing, "GROUP", 10)
+    rows = [(None, "same words here", "a")] * 500 + [(1, "one two", "a")] * 300 + [(i, "w " * 5, "b") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix(docs).collect()
+    assert len(got) == len(rows)
+    for s in "ab":
+        assert sum(r.copies * r.size for r in got if r.source == s) == pytest.approx(next(r.target for r in got if r.source == s), rel=0.05)
+    assert sorted(map(str, got)) == sorted(map(str, mix(docs.repartition(5)).collect()))
