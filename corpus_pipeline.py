@@ -6,8 +6,8 @@ under the shared folder and reads it again for the next stage, so a lost
 executor costs a stage's tasks and no earlier stage.
 
 Defined results are those of the operators: null and empty texts fail the
-quality rules; of near-duplicates the smallest id stays, and documents without
-an id are kept; equal values get equal pseudonyms; a document that the mixture
+quality rules; of near-duplicates the smallest id stays (one without an id
+only where no member has one), and different texts that share an id all stay; equal values get equal pseudonyms; a document that the mixture
 takes several times is repeated; an empty table passes through to no pieces.
 """
 
