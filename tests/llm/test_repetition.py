@@ -1,6 +1,6 @@
 import numpy as np
 
-from cellweave.llm.repetition import Limits, filter_documents, judge, measure, suffix_repeats
+from cellweave.llm.repetition import Limits, filter_documents, find_repeats, judge, measure
 
 
 def brute(text, limits=Limits()):
@@ -49,9 +49,53 @@ def test_measure_against_brute_force():
         assert {k: got[k][i] for k in want} == want, t
 
 
-def test_suffix_repeats_flags_contained_starts():
-    longest, left = suffix_repeats(np.array([1, 2, 3, 9, 1, 2, 3]), np.zeros(7, int))
-    assert longest.tolist() == [3, 2, 1, 0, 3, 2, 1] and left.tolist() == [False, True, True, False, False, True, True]
+def maximal(words, least):
+    """Sequences found twice or more that neither side's word extends in all occurrences."""
+    found = {}
+    for length in range(least, len(words)):
+        for i in range(len(words) - length + 1):
+            found.setdefault(tuple(words[i : i + length]), []).append(i)
+    out = {}
+    for w, at in found.items():
+        left = {words[i - 1] if i else None for i in at}
+        right = {words[i + len(w)] if i + len(w) < len(words) else None for i in at}
+        if len(at) > 1 and len(left) > 1 and len(right) > 1:
+            out[w] = at
+    return out
+
+
+def test_maximal_repeats_against_brute_force():
+    rng = np.random.default_rng(11)
+    texts = ["x A y A x A", "a b c " * 9, "x " * 30, "one", "p q r s p q r s t p q"]
+    texts += [" ".join(f"w{x}" for x in rng.integers(0, 2 + i % 4, rng.integers(2, 40))) for i in range(80)]
+    codes, number, owner = {}, [], []
+    for i, t in enumerate(texts):
+        number += [codes.setdefault(w, len(codes)) for w in t.split()]
+        owner += [i] * len(t.split())
+    for least in (1, 3):
+        got = find_repeats(np.array(number), np.array(owner), least)
+        spans, at = dict(zip(got.starts.tolist(), got.lengths.tolist())), 0
+        for i, t in enumerate(texts):
+            want = maximal(t.split(), least)
+            assert sorted(got.maximal[got.maximal_owner == i].tolist()) == sorted(map(len, want)), t
+            starts = {}
+            for w, places in want.items():
+                for p in places:
+                    starts[p] = max(starts.get(p, 0), len(w))
+            n = len(t.split())
+            assert {p - at: k for p, k in spans.items() if at <= p < at + n} == starts, t
+            at += n
+
+
+def test_long_repetitive_text_needs_linear_memory():
+    import tracemalloc
+
+    tracemalloc.start()
+    got = measure([b"x " * 300_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got["n_covered_words"][0] == 300_000 and got["longest_repeat"][0] == 299_999 and got["n_maximal_repeats"][0] == 299_992
+    assert peak < 300_000 * 500
 
 
 def test_query_and_filter(spark):
