@@ -8,6 +8,7 @@ few hundred bytes of row overhead are paid per chunk instead of per document.
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -22,11 +23,13 @@ CHUNK_BYTES = 6 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (as in tests on one machine) a temporary
-    folder is made and set.
+    Only where the session names none and runs on one machine (as in tests) a
+    temporary folder is made and set; on a cluster that is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and sc.getCheckpointDir() is None and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="cellweave-"))
     return named or sc.getCheckpointDir()

@@ -24,6 +24,8 @@ from cellweave.llm._base import checkpointed, mixed, pack_arrays, unpack_arrays
 #: Keys of a shard, about; bytes of all cascades up to which they are broadcast.
 SHARD_KEYS = 1_000_000
 BROADCAST_BYTES = 32 << 20
+#: Distinct keys that one task judges against a shard's cascade beyond that, about.
+KEYS_AT_ONCE = 500_000
 
 
 def _places(h: np.ndarray, g: np.ndarray, level: int, bits: int, hashes: int) -> np.ndarray:
@@ -116,7 +118,7 @@ def mark(rows: DataFrame, key: str, cascades: DataFrame, shards: int, name: str,
     """The rows with a boolean column `name`: is the key listed?
 
     The cascades are broadcast while they are small together; beyond `limit`
-    rows meet their shard's cascade in salted groups.
+    distinct keys meet their shard's cascade in salted groups and are joined back.
     """
     spark = rows.sparkSession
     h, g = hashes(F.col(key))
@@ -139,12 +141,18 @@ def mark(rows: DataFrame, key: str, cascades: DataFrame, shards: int, name: str,
 
         return hashed.mapInArrow(scan, schema)
 
-    salts = 64
-    dealt = hashed.withColumns({"__shard": F.pmod("__h", F.lit(shards)), "__salt": F.floor(F.rand(7) * salts).cast("int")})
-    copies = cascades.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # Distinct keys are dealt by their hashes, so that groups are bounded and a task that runs again deals alike.
+    keys = checkpointed(hashed.select("__h", "__g").distinct())
+    salts = max(1, -(-keys.count() // (shards * KEYS_AT_ONCE)))
+    dealt = keys.withColumns({"__shard": F.pmod("__h", F.lit(shards)), "__salt": F.pmod("__g", F.lit(salts))})
+    copies = cascades.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
 
     def meet(left, right):
         loaded = {s: Cascade.load(b) for s, b in zip(right.column("shard").to_pylist(), right.column("body").to_pylist())}
-        return finish(left.combine_chunks(), loaded)
+        left = left.combine_chunks()
+        h, g = left.column("__h"), left.column("__g")
+        return pa.table({"h": h, "g": g, "flag": pa.array(_judge(loaded, shards, h.to_numpy(), g.to_numpy()))})
 
-    return dealt.groupBy("__shard", "__salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(meet, schema)
+    judged = dealt.groupBy("__shard", "__salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(meet, "h long, g long, flag boolean")
+    verdicts = judged.select(F.col("h").alias("__h"), F.col("g").alias("__g"), F.col("flag").alias("__flag"))
+    return hashed.join(verdicts, ["__h", "__g"]).select(*(F.col(f"`{c}`") for c in names), F.col("__flag").alias(name))

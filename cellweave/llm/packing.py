@@ -145,7 +145,8 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
 
     `tokenizer` is the path of a `tokenizers` file; `ids` are little-endian
     unsigned 32-bit integers; each document ends with the id `end`.  `slice_bytes`
-    of text and `cache` pieces bound a worker's memory, and do not change the result.
+    of text and `cache` pieces bound a worker's memory; a block ends with a slice, so
+    `slice_bytes` decides which documents may share a sequence, but no document's ids.
     """
     named = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     wanted = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(input_bytes(named) / PARTITION_BYTES))

@@ -13,8 +13,8 @@ again or twice.  A shard's base is the sum of the ids before it: the driver
 adds up one number for each shard.  Readers map a shard's files into memory.
 
 Defined results: a null text counts as empty and an empty one is its end id;
-null ids come first; rows with equal ids are ordered by their text, and equal
-rows are written each; an empty table gives shards without documents; a text
+null ids come first; rows with equal ids are ordered by a hash of their text and the
+text, and equal rows are written each; an empty table gives shards without documents; a text
 may be of any length up to a worker's memory; further columns are not read.
 """
 
@@ -118,8 +118,10 @@ def write(docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "doc_id",
             store.publish(temporary, name)
         yield pa.RecordBatch.from_pydict({"shard": [number], "documents": [count], "tokens": [total]})
 
-    ordered = named.repartitionByRange(shards, "id").sortWithinPartitions("id", "text")
-    rows = sorted(ordered.mapInArrow(run, "shard long, documents long, tokens long").collect())
+    # The hash lets rows of one id (or none) fall in several shards, and keeps whole texts out of the range bounds.
+    spread = named.withColumn("hash", F.xxhash64("text"))
+    ordered = spread.repartitionByRange(shards, "id", "hash").sortWithinPartitions("id", "hash", "text")
+    rows = sorted(ordered.select("id", "text").mapInArrow(run, "shard long, documents long, tokens long").collect())
     bases = np.cumsum([0, *(r.tokens for r in rows)]).tolist()
     manifest = {"item": item, "shards": [{"shard": r.shard, "documents": r.documents, "tokens": r.tokens, "base": b} for r, b in zip(rows, bases)]}
     store = Folder(folder)

@@ -5,7 +5,8 @@ piece is encoded once, and ids are gathered by array indexing:
 
 * byte-level BPE without a normalizer, prefix space or other pre-tokenizer:
   before a space that follows another character than white space (such a
-  space, or the run it begins, never joins the token before it);
+  space, or the run it begins, never joins the token before it), unless the
+  vocabulary has tokens that run on over a space;
 * tokenizers that drop white space: at ASCII white space;
 * any other tokenizer: nowhere.
 
@@ -28,6 +29,8 @@ from cellweave.llm._words import TO_SPACE
 
 #: White space outside 0x20 and 0x09-0x0D.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+#: A byte-level token with a space behind another byte; behind a no-break space it only comes up in texts that are encoded whole.
+_RUNS_ON = re.compile("(?<!^)(?<!\u00c2\u0142)\u0120")
 #: Cached pieces in each of two generations; an older one is dropped as a whole.  About 150 bytes each.
 CACHE = 250_000
 
@@ -38,7 +41,8 @@ def cut_rule(path: str) -> str:
         spec = json.load(f)
     before, normal = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
     if before.get("type") == "ByteLevel" and normal is None and before.get("use_regex") and not before.get("add_prefix_space"):
-        return "space"
+        # A token that runs on over a space could span two pieces that are encoded side by side.
+        return "whole" if any(_RUNS_ON.search(token) for token in spec["model"]["vocab"]) else "space"
     steps = before.get("pretokenizers") or []
     kinds = [n.get("type") for n in (normal or {}).get("normalizers", [])]
     drops = steps and steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and "\\s" in steps[0]["pattern"].get("Regex", "")
