@@ -87,6 +87,19 @@ _LATITUDE = (
 )
 
 
+def transverse_sql() -> dict[str, str]:
+    """The two series as SQL over xi, eta and over x, e, chi, and the constants that go with them."""
+
+    def series(factors: tuple, first: str, second: str) -> str:
+        return " + ".join(f"({a!r}::DOUBLE) * " + first.format(j=2 * j) + second.format(j=2 * j) for j, a in enumerate(factors, 1))
+
+    return {
+        "easting": series(_FORWARD, "cos({j} * xi)", " * sinh({j} * eta)"), "northing": series(_FORWARD, "sin({j} * xi)", " * cosh({j} * eta)"),
+        "x": series(_BACK, "sin({j} * xi)", " * cosh({j} * eta)"), "e": series(_BACK, "cos({j} * xi)", " * sinh({j} * eta)"), "latitude": series(_LATITUDE, "sin({j} * chi)", ""),
+        "unit": f"({SCALE * _RADIUS!r}::DOUBLE)", "root": f"({2 * math.sqrt(_N) / (1 + _N)!r}::DOUBLE)", "meridian": f"({CENTRAL_MERIDIAN!r}::DOUBLE)", "shift": f"({FALSE_EASTING!r}::DOUBLE)",
+    }
+
+
 def to_utm(longitude: Column, latitude: Column) -> tuple[Column, Column]:
     """Easting and northing of a point in degrees, within millimetres inside the zone."""
     root = 2 * math.sqrt(_N) / (1 + _N)

@@ -11,20 +11,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-BUCKETS = 64
+from cellweave.sinks import checkpointed
+
+#: Distinct rows that a bucket is to hold, about, and the most bounds that one expression compares.
+BUCKET_ROWS = 1_000_000
+MOST_BOUNDS = 4_096
 
 
 def below(counts: DataFrame, groups: list[str], order: str, sums: list[str]) -> DataFrame:
     """For rows that are distinct in (groups, order): `<sum>_below`, the total of each sum column before the row.
 
-    The bounds only divide the work; they don't affect the result.
+    The bounds only divide the work; they don't affect the result.  Buckets
+    grow in number with the distinct rows; those are counted once.
     """
-    quantiles = [k / BUCKETS for k in range(1, BUCKETS)]
-    bounds = counts.agg(F.percentile_approx(order, quantiles, 2000)).first()[0] or []
+    counts = checkpointed(counts)
+    buckets = max(8, min(MOST_BOUNDS, -(-counts.count() // BUCKET_ROWS)))
+    quantiles = [k / buckets for k in range(1, buckets)]
+    bounds = counts.agg(F.percentile_approx(order, quantiles, 20 * buckets)).first()[0] or []
     bounds = sorted(set(bounds))
     if bounds:
-        literal = F.array(*(F.lit(b) for b in bounds))
-        bucket = F.size(F.filter(literal, lambda b: b <= F.col(order)))
+        bucket = _bucket(F.col(order), bounds)
     else:
         bucket = F.lit(0)
     dealt = counts.withColumn("__bucket", bucket)
@@ -37,6 +43,17 @@ def below(counts: DataFrame, groups: list[str], order: str, sums: list[str]) ->
     return found.drop("__bucket", *(f"__{s}_start" for s in sums))
 
 
+def _bucket(value: Column, bounds: list) -> Column:
+    """How many of the ascending bounds are at most the value; in two steps, so that a row meets few of them."""
+    step = max(1, round(len(bounds) ** 0.5))
+
+    def passed(held: Column) -> Column:
+        return F.size(F.filter(held, lambda b: b <= value))
+
+    begin = F.greatest(passed(F.array(*(F.lit(b) for b in bounds[::step]))) - 1, F.lit(0)) * step
+    return begin + passed(F.slice(F.array(*(F.lit(b) for b in bounds)), begin + 1, F.lit(step)))
+
+
 def match(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join on keys where NULL equals NULL; the right side's keys are dropped."""
     if not keys:

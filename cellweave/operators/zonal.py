@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from cellweave.functions.scores import detection
+from cellweave.operators import ranking
 
 
 def zonal_stats(cells: DataFrame, by: list[str], layers: list[str]) -> DataFrame:
@@ -56,6 +57,21 @@ def presence_ratio(rows: DataFrame, by: list[str], positive: str) -> DataFrame:
     return found.withColumn("ratio", F.try_divide(F.col("n_presence").cast("double"), F.col("n_background")))
 
 
+def class_estimability(rows: DataFrame, by: list[str], klass: str, positive: str, least: int) -> DataFrame:
+    """By class: presences, background, the smoothed log-odds of presence, and whether both sides have `least` rows."""
+    found = rows.groupBy(*by, klass).agg(F.count_if(positive).alias("n_presence"), F.count_if(~F.col(positive)).alias("n_background"))
+    p, b = F.col("n_presence"), F.col("n_background")
+    return found.withColumns({"estimable": (p >= least) & (b >= least), "log_odds": F.log((p + 0.5) / (b + 0.5))})
+
+
+def profile_agreement(profiles: DataFrame, side: str, klass: str, value: str) -> DataFrame:
+    """(side_a, side_b, n, spearman): rank agreement of class profiles between every two sides (seasons or schemes: a handful)."""
+    known = profiles.where("estimable")
+    left = known.select(F.col(side).alias("side_a"), klass, F.col(value).alias("__x"))
+    right = known.select(F.col(side).alias("side_b"), klass, F.col(value).alias("__y"))
+    return ranking.spearman(left.join(right, klass).where("side_a < side_b"), ["side_a", "side_b"], "__x", "__y")
+
+
 def sample_inventory(presence: DataFrame, background: DataFrame, keys: list[str], item: str) -> DataFrame:
     """By key: distinct presence and background items, those in both, and background only."""
     both = presence.select(*keys, item).distinct().withColumn("__p", F.lit(1)).join(background.select(*keys, item).distinct().withColumn("__b", F.lit(1)), [*keys, item], "full_outer")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.functions.grid import to_degrees, to_utm
+from cellweave.functions.grid import to_degrees, to_utm, transverse_sql
 from cellweave.operators import habitat, nested, selection, splits
 from cellweave.plans.queries_scores import r6
 from cellweave.plans.views import with_views
@@ -118,7 +118,22 @@ def _offsets(name: str, far: float, weight: float, decay: str) -> str:
     return ", ".join(f"('{name}', {r}, {c}, {s!r}::DOUBLE)" for r, c, s in habitat.decay_offsets(far, decay, 100.0))
 
 
+def _coordinates() -> str:
+    k = transverse_sql()
+    return f"""
+WITH a AS (SELECT cell_id, x AS px, y AS py, y / {k["unit"]} AS xi, (x - {k["shift"]}) / {k["unit"]} AS eta FROM cells),
+b AS (SELECT *, xi - ({k["x"]}) AS x, eta - ({k["e"]}) AS e FROM a),
+c AS (SELECT *, asin(sin(x) / cosh(e)) AS chi FROM b),
+d AS (SELECT cell_id, px, py, {k["meridian"]} + degrees(atan2(sinh(e), cos(x))) AS longitude, degrees(chi + {k["latitude"]}) AS latitude FROM c),
+f AS (SELECT *, radians(latitude) AS phi, radians(longitude - {k["meridian"]}) AS lam FROM d),
+g AS (SELECT *, sinh(atanh(sin(phi)) - {k["root"]} * atanh({k["root"]} * sin(phi))) AS t FROM f),
+h AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM g),
+i AS (SELECT *, {k["shift"]} + {k["unit"]} * (eta + {k["easting"]}) AS east, {k["unit"]} * (xi + {k["northing"]}) AS north FROM h)
+SELECT cell_id, round(longitude, 8) AS longitude, round(latitude, 8) AS latitude, round(greatest(abs(east - px), abs(north - py)) * 1000, 0)::BIGINT AS miss_mm FROM i"""
+
+
 ORACLE = {
+    "cell_coordinates": with_views(_coordinates(), "cells"),
     "habitat_quality": with_views(f"""
 WITH k AS (SELECT threat, dr, dc, s / sum(s) OVER (PARTITION BY threat) * CASE threat WHEN 'urban' THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END AS s FROM (VALUES {", ".join(_offsets(*t) for t in THREATS)}) v(threat, dr, dc, s)),
 t AS (SELECT "row", col, 'urban' AS threat, least(1.0::DOUBLE, urban) AS v FROM cells UNION ALL SELECT "row", col, 'light', light FROM cells),

@@ -108,6 +108,15 @@ def _choice(within: list[str], limit: float):
     return run
 
 
+def constraint_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The winners of each season and variant against their inner folds' convergence."""
+    folds = Bridge(spark, sf_dir).candidates()
+    winners = selection.choose(selection.candidate_summary(folds, KEYS), ["season", "variant"], 0.35)
+    state = F.when(F.col("complexity") % 7 == 0, "hit_limit").when(F.col("complexity") % 7 == 1, "unknown").otherwise("converged")
+    found = selection.constraint_audit(winners, folds.where("inner_fold <> 2 OR rm <> 4").withColumn("category", state), ["season", "variant"], KEYS, 0.35)
+    return found.select(*KEYS, "inner_folds", "n_evidence", "n_hit_limit", "n_converged", "n_unknown", "omission_constraint_failed", "flag_consistent", "evidence_complete")
+
+
 def calibration_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = Bridge(spark, sf_dir).candidates().groupBy(F.concat_ws("/", "variant", "background", "fc").alias("member_id"), F.col("inner_fold").alias("fold")).agg(F.round(F.avg("validation_auc"), 12).alias("score"))
     found = selection.calibration_rank(rows)
@@ -199,7 +208,7 @@ def class_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    auc_by_fold, omission_by_fold, metric_bundle, spearman_pairs, threat_overlap, predictor_screen, vif_corr_matrix, vif, topk_overlap, topdecile_overlap, candidate_summary, calibration_rank,
+    auc_by_fold, omission_by_fold, metric_bundle, spearman_pairs, threat_overlap, predictor_screen, vif_corr_matrix, vif, topk_overlap, topdecile_overlap, candidate_summary, calibration_rank, constraint_audit,
     paired_variant_metrics, background_pairs, fold_metrics, primary_scope, predictor_jaccard, predictor_frequency, member_quantiles, oof_domain_violations, regression_metrics, logistic_ridge, class_profile,
 )} | {"candidate_choice": _choice(["season"], 0.4), "scheme_winners": _choice(["season", "variant", "background"], 0.35)}
 
@@ -262,6 +271,12 @@ SELECT season, count(*) FILTER (WHERE ra <= k) AS k, count(*) FILTER (WHERE ra <
 WITH {_TWO}, q AS (SELECT season, quantile_cont(a, 0.9) AS ta, quantile_cont(b, 0.9) AS tb FROM t GROUP BY 1)
 SELECT season, count(*) FILTER (WHERE a >= ta) AS n_a, count(*) FILTER (WHERE b >= tb) AS n_b, round(count(*) FILTER (WHERE a >= ta AND b >= tb) / count(*) FILTER (WHERE a >= ta OR b >= tb), 6) + 0.0::DOUBLE AS jaccard FROM t JOIN q USING (season) GROUP BY 1""", "members"),
     "candidate_summary": with_views(f"SELECT season, variant, background, rm, fc, inner_folds, {', '.join(f'round({c}, 6) + 0.0::DOUBLE AS {c}' for c in ('mean_auc', 'auc_sd', 'auc_se', 'mean_omission', 'mean_complexity', 'mean_abs_auc_gap'))} FROM ({_SUMMARY})", "candidates"),
+    "constraint_audit": with_views("WITH won AS (WITH " + _choice_sql("season, variant", 0.35).strip() + """),
+evidence AS (SELECT season, variant, background, rm, fc, count(*) AS n, count(*) FILTER (WHERE complexity % 7 = 0) AS h, count(*) FILTER (WHERE complexity % 7 = 1) AS u FROM candidates WHERE inner_fold <> 2 OR rm <> 4 GROUP BY ALL),
+folds AS (SELECT season, variant, background, rm, fc, count(DISTINCT inner_fold) AS inner_folds, round(avg(omission_10), 12) AS omission FROM candidates GROUP BY ALL)
+SELECT season, variant, background, rm, fc, inner_folds, coalesce(n, 0) AS n_evidence, coalesce(h, 0) AS n_hit_limit, coalesce(n - h - u, 0) AS n_converged, coalesce(u, 0) AS n_unknown, omission_constraint_failed,
+       omission_constraint_failed = (omission > 0.35::DOUBLE) AS flag_consistent, coalesce(n, 0) = inner_folds AS evidence_complete
+FROM won JOIN folds USING (season, variant, background, rm, fc) LEFT JOIN evidence USING (season, variant, background, rm, fc)""", "candidates"),
     "candidate_choice": with_views("WITH " + _choice_sql("season", 0.4).strip(), "candidates"),
     "scheme_winners": with_views("WITH " + _choice_sql("season, variant, background", 0.35).strip(), "candidates"),
     "calibration_rank": with_views("""

@@ -33,6 +33,22 @@ def presence_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("season", "lucode", "n_presence", "n_background", r6(F.col("ratio"), "ratio"))
 
 
+def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = Bridge(spark, sf_dir)
+    rows = b.background_b0().join(b.presence().withColumn("p", F.lit(True)), ["season", "cell_id"], "left").join(b.cells().select("cell_id", "lucode"), "cell_id").withColumn("positive", F.coalesce("p", F.lit(False)))
+    return zonal.class_estimability(rows, ["season"], "lucode", "positive", 5)
+
+
+def class_estimability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _profiles(spark, sf_dir).select("season", "lucode", "n_presence", "n_background", "estimable", r6(F.col("log_odds"), "log_odds"))
+
+
+def profile_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank agreement of the class profiles between seasons; only classes that can be estimated in both."""
+    profiles = _profiles(spark, sf_dir).withColumn("log_odds", F.round("log_odds", 9))
+    return zonal.profile_agreement(profiles, "season", "lucode", "log_odds").select("side_a", "side_b", "n", r6(F.col("spearman"), "spearman"))
+
+
 def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class against the largest of three layers, rounded so that ties are real."""
     cells = Bridge(spark, sf_dir).cells().where("valid AND qty IS NOT NULL").select("lucode", F.round("light", 1).alias("c1"), F.round(F.col("qty") / 50.0, 1).alias("c2"), F.round("urban", 1).alias("c3"))
@@ -240,7 +256,7 @@ def temporal_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    zonal_stats, class_density, presence_ratio, confusion_matrix, layer_inventory, layer_alignment, balance_weights, odds_norm, block_counts, cell_identity, grid_sample, fold_counts, crossfit_plan, crossfit_leaks,
+    zonal_stats, class_density, presence_ratio, class_estimability, profile_agreement, confusion_matrix, layer_inventory, layer_alignment, balance_weights, odds_norm, block_counts, cell_identity, grid_sample, fold_counts, crossfit_plan, crossfit_leaks,
     buffer_exclusion, support_coverage, coverage_panel, kde_density, background_uniform, background_weighted, stratified_blocks, latin_hypercube, linked_blocks, split_plan, balanced_assignment,
     resample_bilinear, cell_violations, layer_violations, codes_without_evidence, provenance_leaks, footprint_consistency, role_isolation, temporal_isolation,
 )}
@@ -257,6 +273,11 @@ def _r(c: str, name: str | None = None) -> str:
 
 _BLOCK = "'b' || floor(x / 1000.0)::BIGINT || '_' || floor(y / 1000.0)::BIGINT"
 _CLASSED = "SELECT season, lucode, (p.cell_id IS NOT NULL) AS positive FROM background_b0 b LEFT JOIN presence p USING (season, cell_id) JOIN cells c ON c.cell_id = b.cell_id"
+_PROFILES = """WITH counted AS (
+  SELECT b.season, lucode, count(p.cell_id) AS n_presence, count(*) - count(p.cell_id) AS n_background FROM background_b0 b
+  LEFT JOIN presence p ON p.season IS NOT DISTINCT FROM b.season AND p.cell_id = b.cell_id JOIN cells c ON c.cell_id = b.cell_id GROUP BY ALL),
+profiles AS (SELECT *, n_presence >= 5 AND n_background >= 5 AS estimable, ln((n_presence + 0.5::DOUBLE) / (n_background + 0.5::DOUBLE)) AS log_odds FROM counted)
+"""
 _RATIO = f"SELECT season, lucode, count(*) FILTER (WHERE positive) AS n_presence, count(*) FILTER (WHERE NOT positive) AS n_background, round(count(*) FILTER (WHERE positive) / nullif(count(*) FILTER (WHERE NOT positive), 0), 6) + 0.0::DOUBLE AS ratio FROM ({_CLASSED}) GROUP BY ALL"
 _KERNEL = spatial.gaussian_kernel(3.0)
 _WEIGHTS = ", ".join(f"({o}, {_KERNEL[abs(o)]!r}::DOUBLE)" for o in range(-len(_KERNEL) + 1, len(_KERNEL)))
@@ -282,6 +303,12 @@ foot AS (SELECT artifact, 'sample' AS kind, sample_id AS id FROM fj UNION ALL SE
 ORACLE = {
     "zonal_stats": with_views(f"SELECT lucode, count(*) AS n_cells, {', '.join(_r(f'{f}({c})', f'{c}_{n}') for c in LAYERS for f, n in (('avg', 'mean'), ('median', 'median')))} FROM cells WHERE valid GROUP BY 1", "cells"),
     "class_density": with_views(f"SELECT lucode, count(*) AS n_cells, count(p.cell_id) AS n_occupied, {_r('count(p.cell_id) * 1000.0 / (count(*) * 0.01)', 'per_1000_km2')} FROM cells LEFT JOIN (SELECT DISTINCT cell_id FROM presence) p USING (cell_id) WHERE valid GROUP BY 1", "cells", "presence"),
+    "class_estimability": with_views(_PROFILES + "SELECT season, lucode, n_presence, n_background, estimable, round(log_odds, 6) + 0.0::DOUBLE AS log_odds FROM profiles", "cells", "presence", "background_b0"),
+    "profile_agreement": with_views(_PROFILES + """,
+pairs AS (SELECT a.season AS side_a, b.season AS side_b, round(a.log_odds, 9) AS x, round(b.log_odds, 9) AS y FROM profiles a JOIN profiles b USING (lucode) WHERE a.estimable AND b.estimable AND a.season < b.season),
+ranked AS (SELECT *, rank() OVER (PARTITION BY side_a, side_b ORDER BY x) + (count(*) OVER (PARTITION BY side_a, side_b, x) - 1) / 2.0::DOUBLE AS rx,
+                  rank() OVER (PARTITION BY side_a, side_b ORDER BY y) + (count(*) OVER (PARTITION BY side_a, side_b, y) - 1) / 2.0::DOUBLE AS ry FROM pairs)
+SELECT side_a, side_b, count(*) AS n, CASE WHEN count(*) > 2 AND min(rx) < max(rx) AND min(ry) < max(ry) THEN round(corr(rx, ry), 6) + 0.0::DOUBLE END AS spearman FROM ranked GROUP BY ALL""", "cells", "presence", "background_b0"),
     "presence_ratio": with_views(_RATIO, "cells", "presence", "background_b0"),
     "confusion_matrix": with_views("""
 WITH c AS (SELECT lucode, [round(light, 1), round(qty / 50, 1), round(urban, 1)] AS v FROM cells WHERE valid AND qty IS NOT NULL)

@@ -362,3 +362,21 @@ def test_resample(spark):
     assert half[1, 1] == pytest.approx(27.5) and half[0, 0] == pytest.approx((0 + 1 + 10) / 3)
     near = {(r.row, r.col): r.v for r in spatial.resample(cells, source, grid.Grid(2, 2, 10.0, 390.0, 200.0), "v", "nearest").collect()}
     assert near[0, 0] is None and near[1, 1] == 33.0
+
+
+def test_below_with_many_buckets(spark, monkeypatch):
+    """Two groups, one much larger, ordered over hundreds of buckets."""
+    monkeypatch.setattr(ranking, "BUCKET_ROWS", 10)
+    rows = [("big", float(i * i % 4001)) for i in range(2000)] + [("small", float(i)) for i in range(30)] + [("one", 5.0)]
+    got = {(r.g, r.v): r.rank for r in ranking.average_ranks(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", "rank").collect()}
+    for g, v in set(rows):
+        mine = [x for k, x in rows if k == g]
+        assert got[g, v] == sum(x < v for x in mine) + (mine.count(v) + 1) / 2
+
+
+def test_constraint_audit_finds_wrong_flags_and_missing_folds(spark):
+    winners = spark.createDataFrame([("a", "B0", 2, 0.1, False), ("b", "B0", 2, 0.5, False), ("c", "B1", 3, 0.5, True)], "season string, background string, inner_folds long, mean_omission double, omission_constraint_failed boolean")
+    evidence = spark.createDataFrame([("a", "B0", "hit_limit"), ("a", "B0", "converged"), ("b", "B1", "converged"), ("c", "B1", "unknown")], "season string, background string, category string")
+    found = selection.constraint_audit(winners, evidence, ["season"], ["season", "background"], 0.2)
+    got = {r.season: (r.n_evidence, r.n_hit_limit, r.n_converged, r.n_unknown, r.flag_consistent, r.evidence_complete) for r in found.collect()}
+    assert got == {"a": (2, 1, 1, 0, True, True), "b": (0, 0, 0, 0, False, False), "c": (1, 0, 0, 1, True, False)}
