@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,6 +42,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table written in the shared folder; for loops.
+
+    A checkpoint carries the plan's size estimate on, and a join multiplies the
+    estimates of its sides: over k rounds of self-joins the number's length, and
+    with it every planning step, grows as 2**k.  A written table has its own size.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def input_bytes(df: DataFrame, text: str = "text") -> int:
     """Catalyst's size estimate of a plan (file bytes for a scan), without a job.
 

@@ -2,7 +2,7 @@
 
 Each round joins the edges with per-node minima that were pre-aggregated
 before the shuffle, so a hub's edges are never gathered in one group; Spark
-splits the hub's side of the join.  Rounds are cut by reliable checkpoints.
+splits the hub's side of the join.  Rounds are cut by written tables.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm._base import checkpointed
+from cellweave.llm._base import saved
 
 
 def _star(edges: DataFrame, both: bool) -> DataFrame:
@@ -30,12 +30,12 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Null ends and self-loops are ignored; no edges give an empty frame.
     """
-    held = checkpointed(
+    held = saved(
         edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     )
     seen = None
     while True:
-        held = checkpointed(_star(_star(held, True), False))
+        held = saved(_star(_star(held, True), False))
         mark = held.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:
             break

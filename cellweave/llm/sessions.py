@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from cellweave.llm._base import checkpointed
+from cellweave.llm._base import checkpointed, saved
 
 #: A slot's length in gaps.
 SLOT_GAPS = 16
@@ -67,12 +67,12 @@ def as_of(events: DataFrame, points: DataFrame) -> DataFrame:
 
 def climbed(events: DataFrame, points: DataFrame) -> DataFrame:
     """`found` of events whose session begins in an earlier slot: the first of their killers in turn that lives at their batch."""
-    step = checkpointed(points.where(F.col("dies").isNotNull()).select("user", F.col("t").alias("at"), F.col("killer").alias("to"), F.col("dies").alias("most")))
+    step = saved(points.where(F.col("dies").isNotNull()).select("user", F.col("t").alias("at"), F.col("killer").alias("to"), F.col("dies").alias("most")))
     levels = []
     while not step.isEmpty():
         levels.append(step)
         further = step.select("user", F.col("at").alias("to"), F.col("to").alias("beyond"), F.col("most").alias("more"))
-        step = checkpointed(step.join(further, ["user", "to"]).select("user", "at", F.col("beyond").alias("to"), F.greatest("most", "more").alias("most")))
+        step = saved(step.join(further, ["user", "to"]).select("user", "at", F.col("beyond").alias("to"), F.greatest("most", "more").alias("most")))
     held = events.withColumn("at", F.col("t"))
     for level in reversed(levels):
         held = held.join(level, ["user", "at"], "left").withColumn("at", F.when(F.col("most") <= F.col("batch"), F.col("to")).otherwise(F.col("at"))).drop("to", "most")
@@ -131,13 +131,14 @@ def _totals(versions: DataFrame) -> DataFrame:
 
     After k rounds a row holds the sums of 2**k generations and points 2**k versions up.
     """
-    held = versions.select("user", "batch", "first", F.col("n_new").alias("n"), "v", "up_batch", "up_first")
     key = ["user", "batch", "first"]
+    held = saved(versions.select(*key, F.col("n_new").alias("n"), "v", "up_batch", "up_first"))
     while not (active := held.where("up_batch IS NOT NULL")).isEmpty():
-        adds = active.groupBy("user", F.col("up_batch").alias("batch"), F.col("up_first").alias("first")).agg(F.sum("n").alias("more_n"), F.sum("v").alias("more_v"))
-        above = active.select("user", F.col("batch").alias("up_batch"), F.col("first").alias("up_first"), F.col("up_batch").alias("to_batch"), F.col("up_first").alias("to_first"))
-        # Rows that point nowhere are kept out of the join, in which they would share a key.
-        moved = active.join(above, ["user", "up_batch", "up_first"], "left").select(*key, "n", "v", F.col("to_batch").alias("up_batch"), F.col("to_first").alias("up_first"))
-        summed = moved.unionByName(held.where("up_batch IS NULL")).join(adds, key, "left")
-        held = checkpointed(summed.select(*key, (F.col("n") + F.coalesce("more_n", F.lit(0))).alias("n"), (F.col("v") + F.coalesce("more_v", F.lit(0))).alias("v"), "up_batch", "up_first"))
+        adds = active.select("user", F.col("up_batch").alias("batch"), F.col("up_first").alias("first"), "n", "v")
+        # A row that points nowhere looks up itself, so that such rows share no key.
+        aimed = held.withColumns({"at_batch": F.coalesce("up_batch", "batch"), "at_first": F.coalesce("up_first", "first")}).drop("up_batch", "up_first")
+        above = held.select("user", F.col("batch").alias("at_batch"), F.col("first").alias("at_first"), "up_batch", "up_first")
+        moved = aimed.join(above, ["user", "at_batch", "at_first"]).select(*key, "n", "v", "up_batch", "up_first")
+        summed = moved.unionByName(adds, allowMissingColumns=True).groupBy(*key)
+        held = saved(summed.agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.max("up_batch").alias("up_batch"), F.max("up_first").alias("up_first")))
     return held.select(*key, F.col("n").alias("n_events"), F.col("v").alias("total"))
