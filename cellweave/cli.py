@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from cellweave import sinks
 from cellweave.functions import scores
 from cellweave.operators import models, parameters, provenance, ranking, selection, validate
-from cellweave.sources import demo, files, geotiff
+from cellweave.sources import demo, files, rasters
 
 
 def session() -> SparkSession:
@@ -129,10 +129,20 @@ def predict(spark: SparkSession, args: argparse.Namespace) -> dict:
 
 LAYERS = ("m", "h", "feasible", "habitat_suitability")
 
+# Texts that the written layers carry.
+SCORE_TEXTS = {"score_type": "dimensionless_research_index", "scientific_status": "unvalidated_on_real_observations"}
+ZONE_TEXTS = {
+    "zone_1": "protection_reference",
+    "zone_2": "restoration_candidate_reference",
+    "zone_3": "maintenance_reference",
+    "zone_4": "general_management_reference",
+    "zone_5": "requires_feasibility_or_conversion_scenario_review",
+}
+
 
 def read_grid(spark: SparkSession, path: str) -> DataFrame:
     """A raster as cells, by its suffix: GeoTIFF, or ASCII grid (plain or zipped)."""
-    return geotiff.read_geotiffs(spark, path) if path.lower().endswith((".tif", ".tiff")) else files.read_ascii_grids(spark, path)
+    return rasters.read_rasters(spark, path) if path.lower().endswith((".tif", ".tiff")) else files.read_ascii_grids(spark, path)
 
 
 def raster(spark: SparkSession, args: argparse.Namespace) -> dict:
@@ -150,10 +160,10 @@ def raster(spark: SparkSession, args: argparse.Namespace) -> dict:
     cells = scored(joined.select("row", "col", F.col("x_m").alias("x"), F.col("y_m").alias("y"), *LAYERS), args).withColumn("feasible", F.col("feasible").cast("int"))
     sinks.write_new(cells, str(out / "cells"))
     if str(args.m).lower().endswith((".tif", ".tiff")):
-        grid, kept = geotiff.parse(Path(args.m).read_bytes()).grid, spark.read.parquet(str(out / "cells"))
+        grid, kept = rasters.raster_grid(str(args.m)), spark.read.parquet(str(out / "cells"))
         for name in ("conservation", "restoration"):
-            geotiff.write_geotiff(kept, grid, name, str(out / f"{name}.tif"))
-        geotiff.write_geotiff(kept, grid, "zone", str(out / "zone.tif"), "u1", 0)
+            rasters.write_raster(kept, grid, name, str(out / f"{name}.tif"), texts=SCORE_TEXTS)
+        rasters.write_raster(kept, grid, "zone", str(out / "zone.tif"), "u1", 0, ZONE_TEXTS)
     counts = {str(r["zone"]): r["count"] for r in spark.read.parquet(str(out / "cells")).groupBy("zone").count().orderBy("zone").collect()}
     known = F.col("m").isNotNull() & F.col("h").isNotNull() & F.col("feasible").isNotNull() & F.col("habitat_suitability").isNotNull()
     differ = joined.select(F.count_if(~(known) & (F.coalesce("m", "h", "feasible", "habitat_suitability").isNotNull())).alias("n")).first()["n"]

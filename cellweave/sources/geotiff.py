@@ -1,28 +1,28 @@
-"""One-band GeoTIFF files: a reader and a strip writer after the public TIFF 6.0 and GeoTIFF 1.1 specifications.
+"""The format of one-band GeoTIFF files, after the public TIFF 6.0 and GeoTIFF 1.1 specifications.
 
 Read: classic and big TIFF, both byte orders, strips or tiles, no compression,
 Deflate or LZW, horizontal and floating-point predictors, integers and floats.
-Written: classic TIFF, one strip for each block of rows, Deflate.
+Written: Deflate tiles, big TIFF where offsets need it.  `rasters` has the data
+source and sink that use it block by block.
 """
 
 from __future__ import annotations
 
-import io
 import struct
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
+from xml.etree import ElementTree
+from xml.sax.saxutils import escape, quoteattr
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cellweave.functions.grid import Grid
 
 # Fixed values of the specifications: tag numbers, and struct codes of field types.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, ROWS, COUNTS, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 317
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, FORMAT = 322, 323, 324, 325, 339
-PIXEL_SCALE, TIE_POINT, TRANSFORM, GEO_KEYS, NO_DATA = 33550, 33922, 34264, 34735, 42113
+PIXEL_SCALE, TIE_POINT, TRANSFORM, GEO_KEYS, METADATA, NO_DATA = 33550, 33922, 34264, 34735, 42112, 42113
 MODEL_TYPE_KEY, RASTER_TYPE_KEY, PROJECTED_KEY, GEOGRAPHIC_KEY = 1024, 1025, 3072, 2048
 FIELDS = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q"}
 
@@ -67,31 +67,51 @@ def _lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-def _tags(body: bytes) -> tuple[str, dict[int, tuple]]:
-    order = {b"II": "<", b"MM": ">"}.get(body[:2])
-    if order is None or len(body) < 8:
-        raise ValueError("not a TIFF file")
-    version = struct.unpack_from(order + "H", body, 2)[0]
-    if version not in (42, 43):
-        raise ValueError("not a TIFF file")
-    big = version == 43
-    at = struct.unpack_from(order + ("Q" if big else "I"), body, 8 if big else 4)[0]
-    count = struct.unpack_from(order + ("Q" if big else "H"), body, at)[0]
-    at += 8 if big else 2
-    tags: dict[int, tuple] = {}
-    for k in range(count):
-        place = at + k * (20 if big else 12)
-        tag, kind = struct.unpack_from(order + "HH", body, place)
-        number = struct.unpack_from(order + ("Q" if big else "I"), body, place + 4)[0]
-        if kind not in FIELDS:
-            continue
-        code = f"{number}s" if kind == 2 else FIELDS[kind] * number
-        size, room = struct.calcsize(order + code), 8 if big else 4
-        where = place + (12 if big else 8)
-        if size > room:
-            where = struct.unpack_from(order + ("Q" if big else "I"), body, where)[0]
-        tags[tag] = struct.unpack_from(order + code, body, where)
-    return order, tags
+class Directory:
+    """The first directory of a file; long arrays (the blocks' places) are read in parts, when asked for.
+
+    `read(start, size)` gives bytes of the file, so a directory costs a few small reads of a file of any size.
+    """
+
+    def __init__(self, read: Callable[[int, int], bytes]):
+        self.read = read
+        head = read(0, 16)
+        self.order = {b"II": "<", b"MM": ">"}.get(head[:2])
+        if self.order is None or len(head) < 8:
+            raise ValueError("not a TIFF file")
+        version = struct.unpack_from(self.order + "H", head, 2)[0]
+        if version not in (42, 43):
+            raise ValueError("not a TIFF file")
+        self.big = version == 43
+        word, room = ("Q", 8) if self.big else ("I", 4)
+        at = struct.unpack_from(self.order + word, head, 8 if self.big else 4)[0]
+        start, step = (8, 20) if self.big else (2, 12)
+        count = struct.unpack(self.order + ("Q" if self.big else "H"), read(at, start))[0]
+        table = read(at + start, count * step)
+        #: tag -> (field type, number of values, where they begin)
+        self.entries: dict[int, tuple[int, int, int]] = {}
+        for k in range(count):
+            tag, kind = struct.unpack_from(self.order + "HH", table, k * step)
+            number = struct.unpack_from(self.order + word, table, k * step + 4)[0]
+            if kind not in FIELDS:
+                continue
+            where = at + start + k * step + 4 + room
+            if number * struct.calcsize("<" + FIELDS[kind]) > room:
+                where = struct.unpack_from(self.order + word, table, k * step + 4 + room)[0]
+            self.entries[tag] = kind, number, where
+
+    def __contains__(self, tag: int) -> bool:
+        return tag in self.entries
+
+    def part(self, tag: int, first: int, last: int) -> tuple:
+        """Values first .. last - 1 of a tag."""
+        kind, _, where = self.entries[tag]
+        size = struct.calcsize("<" + FIELDS[kind])
+        data = self.read(where + first * size, (last - first) * size)
+        return (data,) if kind == 2 else struct.unpack(self.order + FIELDS[kind] * (last - first), data)
+
+    def get(self, tag: int, default: tuple = ()) -> tuple:
+        return self.part(tag, 0, self.entries[tag][1]) if tag in self.entries else default
 
 
 def _decoded(data: bytes, compression: int) -> bytes:
@@ -115,35 +135,55 @@ def _block(data: bytes, rows: int, columns: int, dtype: np.dtype, predictor: int
     return np.cumsum(values, axis=1, dtype=values.dtype) if predictor == 2 else values
 
 
-def parse(body: bytes) -> Raster:
-    """A one-band, north-up raster; an error for anything else."""
-    order, tags = _tags(body)
+@dataclass(frozen=True)
+class Layout:
+    """How a one-band, north-up raster is cut into blocks (strips or tiles), and where it lies."""
+
+    grid: Grid
+    dtype: np.dtype
+    no_data: float | None
+    compression: int
+    predictor: int
+    tall: int
+    wide: int
+    offsets: int
+    counts: int
+
+    @property
+    def across(self) -> int:
+        return -(-self.grid.width // self.wide)
+
+    @property
+    def down(self) -> int:
+        return -(-self.grid.height // self.tall)
+
+    def values(self, data: bytes, k: int) -> tuple[int, int, np.ndarray, np.ndarray]:
+        """(first row, first column, values, missing) of block k from its bytes."""
+        row, col = k // self.across * self.tall, k % self.across * self.wide
+        # A strip ends with the raster, a tile is whole.
+        tall = min(self.tall, self.grid.height - row) if self.offsets == OFFSETS else self.tall
+        part = _block(_decoded(data, self.compression), tall, self.wide, self.dtype, self.predictor)[: self.grid.height - row, : self.grid.width - col]
+        return row, col, part, self.missing(part)
+
+    def missing(self, part: np.ndarray) -> np.ndarray:
+        missing = np.isnan(part) if part.dtype.kind == "f" else np.zeros(part.shape, bool)
+        if self.no_data is not None and self.no_data == self.no_data:
+            missing |= part == np.array(self.no_data).astype(part.dtype)
+        return missing
+
+
+def layout(tags: Directory) -> Layout:
+    """The layout of a one-band, north-up raster; an error for anything else."""
     if tags.get(SAMPLES, (1,))[0] != 1:
         raise ValueError("one band is expected")
-    width, height = tags[WIDTH][0], tags[HEIGHT][0]
+    width, height = tags.get(WIDTH)[0], tags.get(HEIGHT)[0]
     kind = {1: "u", 2: "i", 3: "f"}[tags.get(FORMAT, (1,))[0]]
-    dtype = np.dtype(f"{order}{kind}{tags[BITS][0] // 8}")
-    compression, predictor = tags.get(COMPRESSION, (1,))[0], tags.get(PREDICTOR, (1,))[0]
-    out = np.zeros((height, width), dtype.newbyteorder("="))
-    if TILE_OFFSETS in tags:
-        across, tall, wide = -(-width // tags[TILE_WIDTH][0]), tags[TILE_HEIGHT][0], tags[TILE_WIDTH][0]
-        places = [(k // across * tall, k % across * wide, tall, wide) for k in range(len(tags[TILE_OFFSETS]))]
-        offsets, counts = tags[TILE_OFFSETS], tags[TILE_COUNTS]
-    else:
-        step = min(height, tags.get(ROWS, (height,))[0])
-        offsets, counts = tags[OFFSETS], tags[COUNTS]
-        places = [(k * step, 0, min(step, height - k * step), width) for k in range(len(offsets))]
-    for (r, c, rows, columns), offset, count in zip(places, offsets, counts):
-        if not count:
-            continue
-        part = _block(_decoded(body[offset : offset + count], compression), rows, columns, dtype, predictor)
-        out[r : r + rows, c : c + columns] = part[: height - r, : width - c]
     if PIXEL_SCALE in tags and TIE_POINT in tags:
-        sx, sy = tags[PIXEL_SCALE][:2]
-        i, j, _, x, y = tags[TIE_POINT][:5]
+        sx, sy = tags.get(PIXEL_SCALE)[:2]
+        i, j, _, x, y = tags.get(TIE_POINT)[:5]
         left, top = x - i * sx, y + j * sy
     elif TRANSFORM in tags:
-        a, b, _, left, d, e, _, top = tags[TRANSFORM][:8]
+        a, b, _, left, d, e, _, top = tags.get(TRANSFORM)[:8]
         if b or d:
             raise ValueError("the raster is rotated")
         sx, sy = a, -e
@@ -151,106 +191,58 @@ def parse(body: bytes) -> Raster:
         raise ValueError("the raster has no place on the ground")
     if sx <= 0 or abs(sx - sy) > 1e-9:
         raise ValueError("north-up square pixels are expected")
-    keys = tags.get(GEO_KEYS, ())
+    keys = tags.get(GEO_KEYS)
     codes = {keys[k]: keys[k + 3] for k in range(4, len(keys) - 3, 4) if keys[k + 1] == 0}
     text = b"".join(tags.get(NO_DATA, (b"",))).rstrip(b"\x00 ").decode("ascii", "replace")
-    no_data = float(text) if text else None
-    missing = np.isnan(out) if out.dtype.kind == "f" else np.zeros(out.shape, bool)
-    if no_data is not None and no_data == no_data:
-        missing |= out == np.array(no_data).astype(out.dtype)
-    return Raster(out, missing, no_data, Grid(width, height, float(left), float(top), float(sx), int(codes.get(PROJECTED_KEY, codes.get(GEOGRAPHIC_KEY, 0)))))
-
-
-def read_geotiffs(spark: SparkSession, path: str) -> DataFrame:
-    """(layer, row, col, x, y, value) of the files; a file is one task's work, given out row by row."""
-    from pathlib import Path
-
-    def run(batches):
-        for batch in batches:
-            for name, body in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                raster = parse(body)
-                grid, col = raster.grid, np.arange(raster.grid.width)
-                for row in range(grid.height):
-                    y = grid.origin_y - (row + 0.5) * grid.size
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([Path(name).stem] * len(col)), pa.array(np.full(len(col), row)), pa.array(col), pa.array(grid.origin_x + (col + 0.5) * grid.size), pa.array(np.full(len(col), y)), pa.array(raster.values[row].astype(float), mask=raster.missing[row])],
-                        names=["layer", "row", "col", "x", "y", "value"],
-                    )
-
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content").mapInArrow(run, "layer string, row long, col long, x double, y double, value double")
-
-
-class Writer:
-    """Writes blocks of rows to a stream as they come; the directory follows at the end."""
-
-    def __init__(self, stream: io.BufferedIOBase, grid: Grid, dtype: str = "<f4", no_data: float = -9999.0):
-        self.stream, self.grid, self.dtype, self.no_data = stream, grid, np.dtype(dtype), no_data
-        self.offsets: list[int] = []
-        self.counts: list[int] = []
-        self.at = stream.write(b"II*\x00\x00\x00\x00\x00")
-        self.rows = 0
-
-    def block(self, values: np.ndarray, rows: int) -> None:
-        """The next rows; each block but the last has the same number of rows."""
-        filled = np.where(np.isnan(values), self.no_data, values) if values.dtype.kind == "f" else values
-        data = zlib.compress(np.ascontiguousarray(filled.astype(self.dtype)).tobytes(), 6)
-        self.offsets.append(self.at)
-        self.counts.append(len(data))
-        self.at += self.stream.write(data)
-        self.rows = self.rows or rows
-
-    def close(self) -> None:
-        g = self.grid
-        entries = [
-            (WIDTH, 4, [g.width]), (HEIGHT, 4, [g.height]), (BITS, 3, [self.dtype.itemsize * 8]), (COMPRESSION, 3, [8]), (PHOTOMETRIC, 3, [1]), (OFFSETS, 4, self.offsets), (SAMPLES, 3, [1]), (ROWS, 4, [self.rows]), (COUNTS, 4, self.counts),
-            (FORMAT, 3, [{"u": 1, "i": 2, "f": 3}[self.dtype.kind]]), (PIXEL_SCALE, 12, [g.size, g.size, 0.0]), (TIE_POINT, 12, [0.0, 0.0, 0.0, g.origin_x, g.origin_y, 0.0]),
-            (GEO_KEYS, 3, [1, 1, 0, 3, MODEL_TYPE_KEY, 0, 1, 1, RASTER_TYPE_KEY, 0, 1, 1, PROJECTED_KEY, 0, 1, g.epsg]), (NO_DATA, 2, f"{self.no_data:g}\0".encode()),
-        ]
-        if self.at % 2:
-            self.at += self.stream.write(b"\0")
-        directory, far = self.at, self.at + 2 + 12 * len(entries) + 4
-        table, extra = [struct.pack("<H", len(entries))], b""
-        for tag, kind, values in entries:
-            packed = values if kind == 2 else struct.pack(f"<{len(values)}{FIELDS[kind]}", *values)
-            if len(packed) > 4:
-                table.append(struct.pack("<HHII", tag, kind, len(values), far + len(extra)))
-                extra += packed + b"\0" * (len(packed) % 2)
-            else:
-                table.append(struct.pack("<HHI", tag, kind, len(values)) + packed.ljust(4, b"\0"))
-        self.stream.write(b"".join(table) + struct.pack("<I", 0) + extra)
-        self.stream.seek(4)
-        self.stream.write(struct.pack("<I", directory))
-
-
-def write_geotiff(cells: DataFrame, grid: Grid, value: str, path: str, dtype: str = "<f4", no_data: float = -9999.0, rows: int = 256) -> None:
-    """Write a layer of a cell table (row, col, value); the driver holds one block of rows at a time."""
-    import os
-
-    if os.path.exists(path):
-        raise FileExistsError(path)
-    packed = cells.select(F.floor(F.col("row") / rows).alias("block"), "row", "col", F.col(value).cast("double").alias("v"))
-
-    def fill(key, table):
-        start = key[0].as_py() * rows
-        out = np.full((min(rows, grid.height - start), grid.width), np.nan)
-        v = table.column("v").to_numpy(zero_copy_only=False)
-        out[table.column("row").to_numpy() - start, table.column("col").to_numpy()] = v
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "body": pa.array([out.astype("<f8").tobytes()], pa.binary())})
-
-    blocks = packed.groupBy("block").applyInArrow(fill, "block long, body binary").orderBy("block")
-    with open(path, "wb") as stream:
-        writer, following = Writer(stream, grid, dtype, no_data), 0
-
-        def empty(k: int) -> np.ndarray:
-            return np.full((min(rows, grid.height - k * rows), grid.width), np.nan)
-
-        for r in blocks.toLocalIterator():
-            while following < r["block"]:
-                writer.block(empty(following), rows)
-                following += 1
-            writer.block(np.frombuffer(r["body"], "<f8").reshape(-1, grid.width), rows)
-            following += 1
-        while following * rows < grid.height:
-            writer.block(empty(following), rows)
-            following += 1
-        writer.close()
+    tiled = TILE_OFFSETS in tags
+    tall, wide = (tags.get(TILE_HEIGHT)[0], tags.get(TILE_WIDTH)[0]) if tiled else (min(height, tags.get(ROWS, (height,))[0]), width)
+    return Layout(
+        Grid(width, height, float(left), float(top), float(sx), int(codes.get(PROJECTED_KEY, codes.get(GEOGRAPHIC_KEY, 0)))),
+        np.dtype(f"{tags.order}{kind}{tags.get(BITS)[0] // 8}"), float(text) if text else None, tags.get(COMPRESSION, (1,))[0], tags.get(PREDICTOR, (1,))[0], tall, wide,
+        TILE_OFFSETS if tiled else OFFSETS, TILE_COUNTS if tiled else COUNTS,
+    )
+
+
+def metadata(tags: Directory) -> dict[str, str]:
+    """Named texts of a file (GDAL's metadata field)."""
+    text = b"".join(tags.get(METADATA, (b"",))).rstrip(b"\x00").decode("utf-8")
+    return {e.get("name", ""): e.text or "" for e in ElementTree.fromstring(text).iter("Item")} if text else {}
+
+
+def parse(body: bytes) -> Raster:
+    """A whole raster in memory, for small files."""
+    tags = Directory(lambda start, size: body[start : start + size])
+    plan = layout(tags)
+    out = np.zeros((plan.grid.height, plan.grid.width), plan.dtype.newbyteorder("="))
+    missing = np.ones(out.shape, bool)
+    for k, (offset, count) in enumerate(zip(tags.get(plan.offsets), tags.get(plan.counts))):
+        if count:
+            row, col, part, gone = plan.values(body[offset : offset + count], k)
+            here = np.s_[row : row + part.shape[0], col : col + part.shape[1]]
+            out[here], missing[here] = part, gone
+    return Raster(out, missing, plan.no_data, plan.grid)
+
+
+def directory_bytes(grid: Grid, dtype: np.dtype, no_data: float, tile: int, blocks: int, places: tuple[int, int], at: int, big: bool, texts: dict[str, str]) -> bytes:
+    """A directory to stand at byte `at`, for Deflate tiles whose offsets and byte counts stand at `places`."""
+    word, room, long = ("Q", 8, 16) if big else ("I", 4, 4)
+    xml = "<GDALMetadata>" + "".join(f"<Item name={quoteattr(k)}>{escape(v)}</Item>" for k, v in texts.items()) + "</GDALMetadata>\0"
+    entries: list[tuple] = [
+        (WIDTH, 4, [grid.width]), (HEIGHT, 4, [grid.height]), (BITS, 3, [dtype.itemsize * 8]), (COMPRESSION, 3, [8]), (PHOTOMETRIC, 3, [1]), (SAMPLES, 3, [1]),
+        (TILE_WIDTH, 4, [tile]), (TILE_HEIGHT, 4, [tile]), (TILE_OFFSETS, long, places[0]), (TILE_COUNTS, long, places[1]),
+        (FORMAT, 3, [{"u": 1, "i": 2, "f": 3}[dtype.kind]]), (PIXEL_SCALE, 12, [grid.size, grid.size, 0.0]), (TIE_POINT, 12, [0.0, 0.0, 0.0, grid.origin_x, grid.origin_y, 0.0]),
+        (GEO_KEYS, 3, [1, 1, 0, 3, MODEL_TYPE_KEY, 0, 1, 1, RASTER_TYPE_KEY, 0, 1, 1, PROJECTED_KEY, 0, 1, grid.epsg]), *([(METADATA, 2, xml.encode())] if texts else []), (NO_DATA, 2, f"{no_data:g}\0".encode()),
+    ]
+    far = at + (8 if big else 2) + len(entries) * (20 if big else 12) + room
+    table, extra = [struct.pack("<Q" if big else "<H", len(entries))], b""
+    for tag, kind, values in entries:
+        if isinstance(values, int):  # an array that stands elsewhere already
+            table.append(struct.pack("<HH" + word + word, tag, kind, blocks, values))
+            continue
+        packed = values if kind == 2 else struct.pack(f"<{len(values)}{FIELDS[kind]}", *values)
+        if len(packed) > room:
+            table.append(struct.pack("<HH" + word + word, tag, kind, len(values), far + len(extra)))
+            extra += packed + b"\0" * (-len(packed) % 8)
+        else:
+            table.append(struct.pack("<HH" + word, tag, kind, len(values)) + packed.ljust(room, b"\0"))
+    return b"".join(table) + struct.pack("<" + word, 0) + extra

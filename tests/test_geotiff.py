@@ -1,13 +1,15 @@
-import io
+import contextlib
 import struct
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual
 
 from cellweave.cli import main
 from cellweave.functions.grid import Grid
 from cellweave.sources import geotiff as gt
+from cellweave.sources import rasters
 
 
 def lzw(data):
@@ -122,20 +124,74 @@ def test_no_data_and_errors():
         gt._decoded(b"", 7)
 
 
-def test_write_and_read_back(spark, tmp_path):
-    grid = Grid(7, 10, 350000.0, 3850000.0)
-    rows = [(r, c, None if (r + c) % 5 == 0 else r + c / 10) for r in range(10) for c in range(7) if r not in (4, 5)]
+@pytest.mark.parametrize("big", [False, True])
+def test_write_and_read_back(spark, tmp_path, big):
+    grid = Grid(37, 50, 350000.0, 3850000.0)
+    rows = [(r, c, None if (r + c) % 5 == 0 else r + c / 10) for r in range(50) for c in range(37) if r not in range(16, 33)]
     cells = spark.createDataFrame(rows, "row long, col long, v double").repartition(3)
     path = str(tmp_path / "v.tif")
-    gt.write_geotiff(cells, grid, "v", path, rows=2)
+    rasters.write_raster(cells, grid, "v", path, tile=16, big=big, texts={"a": "x < y", "b": "z"})
     back = gt.parse(open(path, "rb").read())
-    assert back.grid == grid and back.no_data == -9999.0
+    assert back.grid == grid and back.no_data == -9999.0 and rasters.raster_texts(path) == {"a": "x < y", "b": "z"}
     want = {(r, c): v for r, c, v in rows}
-    got = {(r.row, r.col): r.value for r in gt.read_geotiffs(spark, path).collect()}
-    assert len(got) == 70
-    assert all(got[k] == (None if want.get(k) is None else pytest.approx(want[k], abs=1e-6)) for k in got)
+    got = {(r.row, r.col): r.value for r in rasters.read_rasters(spark, path).collect()}
+    assert len(got) == 37 * 50
+    assert all(got[k] == (None if want.get(k) is None else pytest.approx(want[k], abs=1e-5)) for k in got)
     with pytest.raises(FileExistsError):
-        gt.write_geotiff(cells, grid, "v", path)
+        rasters.write_raster(cells, grid, "v", path)
+    assert [p.name for p in tmp_path.iterdir()] == ["v.tif"]
+
+
+def test_small_and_empty_rasters(spark, tmp_path):
+    cells = spark.createDataFrame([(0, 0, 3.0)], "row long, col long, v double")
+    rasters.write_raster(cells, Grid(5, 4, 0.0, 0.0), "v", str(tmp_path / "one.tif"), "u1", 0)
+    assert gt.parse((tmp_path / "one.tif").read_bytes()).values[0].tolist() == [3, 0, 0, 0, 0]
+    rasters.write_raster(cells.where("v > 9"), Grid(5, 4, 0.0, 0.0), "v", str(tmp_path / "none.tif"))
+    assert gt.parse((tmp_path / "none.tif").read_bytes()).missing.all()
+    with pytest.raises(Exception, match="outside the grid"):
+        rasters.write_raster(spark.createDataFrame([(9, 0, 3.0)], "row long, col long, v double"), Grid(5, 4, 0.0, 0.0), "v", str(tmp_path / "out.tif"))
+    assert not (tmp_path / "out.tif").exists()
+
+
+def read_bytes(monkeypatch, path, *filters):
+    """(bytes that a reader with these filters reads, cells by place)."""
+    seen = []
+    plain = rasters.ranged
+
+    @contextlib.contextmanager
+    def counted(name):
+        with plain(name) as read:
+            yield lambda start, size: seen.append(size) or read(start, size)
+
+    monkeypatch.setattr(rasters, "ranged", counted)
+    reader = rasters.RasterReader(path)
+    assert list(reader.pushFilters(list(filters))) == list(filters)
+    cells = {}
+    assert not filters or len(reader.partitions()) < len(rasters.RasterReader(path).partitions())
+    for run in reader.partitions():
+        for batch in reader.read(run):
+            cells |= {(layer, r, c): v for layer, r, c, v in zip(*(batch.column(n).to_pylist() for n in ("layer", "row", "col", "value")))}
+    monkeypatch.setattr(rasters, "ranged", plain)
+    return sum(seen), cells
+
+
+@pytest.mark.parametrize("how", [{"compression": 8}, {"tile": 16, "compression": 8}, {"tile": 16, "big": True, "order": ">"}])
+def test_windows_read_their_byte_ranges_only(spark, tmp_path, monkeypatch, how):
+    monkeypatch.setattr(rasters, "RUN_BYTES", 20_000)
+    rng = np.random.default_rng(3)
+    values = {name: rng.random((300, 260)).astype("f4") for name in "ab"}
+    for name, v in values.items():
+        (tmp_path / f"{name}.tif").write_bytes(build(v, **how))
+    size = sum((tmp_path / f"{n}.tif").stat().st_size for n in "ab")
+    every, cells = read_bytes(monkeypatch, str(tmp_path))
+    assert every > 0.95 * size and len(cells) == 2 * 300 * 260 and all(cells[n, r, c] == values[n][r, c] for n, r, c in list(cells)[::37])
+    few, part = read_bytes(monkeypatch, str(tmp_path), EqualTo(("layer",), "b"), GreaterThanOrEqual(("row",), 150), LessThan(("row",), 153), GreaterThan(("col",), 40), LessThanOrEqual(("col",), 60))
+    assert few < 0.05 * size and {("b", r, c) for r in range(150, 153) for c in range(41, 61)} <= set(part) and part.items() <= cells.items()
+    assert read_bytes(monkeypatch, str(tmp_path), EqualTo(("row",), 900))[1] == {}
+    frame = rasters.read_rasters(spark, str(tmp_path))
+    window = frame.where("layer = 'b' AND row >= 150 AND row < 153 AND col > 40 AND col <= 60")
+    assert {(r.row, r.col): r.value for r in window.collect()} == {(r, c): values["b"][r, c] for r in range(150, 153) for c in range(41, 61)}
+    assert frame.where("row = 900").count() == 0
 
 
 def test_raster_command_on_tiff(spark, tmp_path):
@@ -151,3 +207,4 @@ def test_raster_command_on_tiff(spark, tmp_path):
     zones = gt.parse((tmp_path / "out" / "zone.tif").read_bytes())
     cells = {(r.row, r.col): r.zone for r in spark.read.parquet(str(tmp_path / "out" / "cells")).collect()}
     assert all(zones.values[k] == z for k, z in cells.items()) and zones.values.dtype == np.uint8
+    assert rasters.raster_texts(str(tmp_path / "out" / "zone.tif"))["zone_2"] == "restoration_candidate_reference"
