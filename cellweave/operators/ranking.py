@@ -115,31 +115,74 @@ def spearman(rows: DataFrame, groups: list[str], a: str, b: str) -> DataFrame:
     return summed.select(*groups, "n", F.when((n > 2) & (vx > 0) & (vy > 0), rho).alias("spearman"))
 
 
+def group_quantiles(rows: DataFrame, groups: list[str], value: str, shares: dict[str, float], weight: str | None = None) -> DataFrame:
+    """(groups, a column for each named share): exact linear quantiles of the values that are not null.
+
+    Selection by counting: values are counted, totals below each value come from
+    `below`, and the two values around the wanted place are picked by an
+    aggregation, so no group's values are held together.
+    """
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("__v")).agg(n.alias("__n"))
+    ranked = below(counts, groups, "__v", ["__n"])
+    totals = ranked.groupBy(*groups).agg(F.sum("__n").alias("__total"))
+    placed = match(ranked.select(*groups, "__v", "__n", "__n_below"), totals, groups)
+    picks = []
+    for name, share in shares.items():
+        at = (F.col("__total") - 1) * F.lit(float(share))
+        for side, place in (("low", F.floor(at)), ("high", F.ceil(at))):
+            here = (F.col("__n_below") <= place) & (place < F.col("__n_below") + F.col("__n"))
+            picks.append(F.max(F.when(here, F.col("__v"))).alias(f"__{name}_{side}"))
+    held = placed.groupBy(*groups, "__total").agg(*picks)
+
+    def between(name: str, share: float) -> Column:
+        at = (F.col("__total") - 1) * F.lit(float(share))
+        low, high = F.col(f"__{name}_low"), F.col(f"__{name}_high")
+        return F.when(low == high, low.cast("double")).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+
+    return held.select(*groups, *(between(name, share).alias(name) for name, share in shares.items()))
+
+
 def omission(scored: DataFrame, groups: list[str], positive: str, score: str, share: float = 0.1) -> DataFrame:
     """(groups, threshold, omission): presences strictly below the `share` quantile of the presences' scores.
 
     The quantile is the linear one over the counted values, exact at any size.
     """
-    counts = scored.where(F.col(positive) & F.col(score).isNotNull()).groupBy(*groups, score).agg(F.count(F.lit(1)).alias("__n"))
-    quantile = counts.groupBy(*groups).agg(F.percentile(score, share, F.col("__n")).alias("threshold"))
-    joined = match(counts, quantile, groups)
-    n = F.sum("__n")
-    return joined.groupBy(*groups, "threshold").agg((F.sum(F.when(F.col(score) < F.col("threshold"), F.col("__n")).otherwise(0)) / n).alias("omission"), n.alias("n_presence"))
+    counts = scored.where(F.col(positive) & F.col(score).isNotNull()).groupBy(*groups, score).agg(F.count(F.lit(1)).alias("__k"))
+    joined = match(counts, group_quantiles(counts, groups, score, {"threshold": share}, "__k"), groups)
+    n = F.sum("__k")
+    return joined.groupBy(*groups, "threshold").agg((F.sum(F.when(F.col(score) < F.col("threshold"), F.col("__k")).otherwise(0)) / n).alias("omission"), n.alias("n_presence"))
 
 
 def top_share(rows: DataFrame, groups: list[str], score: str, tiebreak: str, share: float, name: str) -> DataFrame:
-    """Rows with a boolean `name`: among the ceil(share * n) highest (at least one), ties cut by the tiebreak."""
-    counts = rows.groupBy(*groups, score).agg(F.count(F.lit(1)).alias("__n")).withColumn("__down", -F.col(score))
+    """Rows with a boolean `name`: among the ceil(share * n) highest (at least one), ties cut by the tiebreak.
+
+    Rows without a score are not counted and never inside.  The tiebreak is a
+    number that differs within a group.  A group's cut is one
+    score; only rows with that score are ranked by the tiebreak, by counting
+    again, so a score that half of the rows share is sorted in no single task.
+    """
+    counts = rows.where(F.col(score).isNotNull()).groupBy(*groups, score).agg(F.count(F.lit(1)).alias("__n")).withColumn("__down", -F.col(score))
     ranked = below(counts, groups, "__down", ["__n"])
     totals = counts.groupBy(*groups).agg(F.greatest(F.lit(1), F.ceil(F.sum("__n") * share)).alias("__k"))
-    keys = ranked.select(*groups, score, "__n", "__n_below")
-    joined = match(match(rows, keys, [*groups, score]), totals, groups)
-    # Only the value at the cut has to be ordered by the tiebreak.
-    at_cut = (F.col("__n_below") < F.col("__k")) & (F.col("__n_below") + F.col("__n") > F.col("__k"))
-    w = Window.partitionBy(*groups, score, at_cut).orderBy(tiebreak)
-    place = F.when(at_cut, F.col("__n_below") + F.row_number().over(w))
-    inside = F.when(at_cut, place <= F.col("__k")).otherwise(F.col("__n_below") < F.col("__k"))
-    return joined.withColumn(name, inside).select(*rows.columns, name)
+    at_cut = (F.col("__n_below") < F.col("__k")) & (F.col("__n_below") + F.col("__n") >= F.col("__k"))
+    cuts = match(ranked.select(*groups, F.col(score).alias("__cut"), "__n", "__n_below"), totals, groups).where(at_cut)
+    cuts = checkpointed(cuts.select(*groups, "__cut", (F.col("__k") - F.col("__n_below")).alias("__room"), "__n"))
+    known = match(rows, cuts, groups)
+    tied = known.where((F.col(score) == F.col("__cut")) & (F.col("__room") < F.col("__n"))).groupBy(*groups, tiebreak).agg(F.count(F.lit(1)).alias("__m"))
+    # The last tiebreak that is still inside, for each group whose cut splits a score.
+    places = match(below(tied, groups, tiebreak, ["__m"]), cuts, groups)
+    last = places.where(F.col("__m_below") < F.col("__room")).groupBy(*groups).agg(F.max(tiebreak).alias("__last"))
+    limits = match_left(cuts, last, groups)
+    inside = (F.col(score) > F.col("__cut")) | ((F.col(score) == F.col("__cut")) & (F.col("__last").isNull() | (F.col(tiebreak) <= F.col("__last"))))
+    return match(rows, limits, groups).withColumn(name, F.coalesce(inside, F.lit(False))).select(*rows.columns, name)
+
+
+def match_left(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """As `match`, keeping left rows without a partner."""
+    renamed = right.withColumnsRenamed({k: f"__right_{i}" for i, k in enumerate(keys)})
+    same = _all([F.col(k).eqNullSafe(F.col(f"__right_{i}")) for i, k in enumerate(keys)]) if keys else F.lit(True)
+    return left.join(renamed, same, "left").drop(*(f"__right_{i}" for i in range(len(keys))))
 
 
 def screen_by_correlation(names: list[str], pairs: dict[tuple[str, str], float | None], constant: set[str], cutoff: float = 0.7) -> list[str]:

@@ -12,10 +12,11 @@ from cellweave.operators import ranking
 
 def zonal_stats(cells: DataFrame, by: list[str], layers: list[str]) -> DataFrame:
     """Cells, mean and exact median of each layer by class."""
-    aggregates = [F.count(F.lit(1)).alias("n_cells")]
-    for c in layers:
-        aggregates += [F.avg(c).alias(f"{c}_mean"), F.percentile(c, 0.5).alias(f"{c}_median")]
-    return cells.groupBy(*by).agg(*aggregates)
+    means = cells.groupBy(*by).agg(F.count(F.lit(1)).alias("n_cells"), *(F.avg(c).alias(f"{c}_mean") for c in layers))
+    long = cells.select(*by, F.explode(F.array(*(F.struct(F.lit(c).alias("layer"), F.col(c).cast("double").alias("value")) for c in layers))).alias("__at")).select(*by, "__at.layer", "__at.value")
+    medians = ranking.group_quantiles(long, [*by, "layer"], "value", {"median": 0.5})
+    wide = medians.groupBy(*by).agg(*(F.max(F.when(F.col("layer") == c, F.col("median"))).alias(f"{c}_median") for c in layers))
+    return ranking.match_left(means, wide, by).select(*by, "n_cells", *(f"{c}_{k}" for c in layers for k in ("mean", "median")))
 
 
 def coverage(cells: DataFrame, name: str, support: str, common: str, development: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.functions.grid import to_degrees, to_utm, transverse_sql
-from cellweave.operators import habitat, nested, selection, splits
+from cellweave.operators import habitat, maxent, nested, selection, splits
 from cellweave.plans.queries_scores import r6
 from cellweave.plans.views import with_views
 from cellweave.sinks import checkpointed
@@ -49,6 +49,19 @@ def derive_joint_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("season", "term", F.round("coefficient", 6).alias("coefficient"), "n")
 
 
+def maxent_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximum entropy of each season with linear, quadratic and hinge features; features without weight are left out."""
+    found, _ = maxent.fit(_rows(Bridge(spark, sf_dir)), ["season"], NAMES, "positive", "LQH")
+    return found.where("coefficient <> 0").select("season", "term", F.round("coefficient", 4).alias("coefficient"), "n_presence", F.round("entropy", 6).alias("entropy"))
+
+
+def maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cloglog scores of the cells by season."""
+    rows = checkpointed(_rows(Bridge(spark, sf_dir)))
+    _, fits = maxent.fit(rows, ["season"], NAMES, "positive", "LQ")
+    return maxent.project(rows, fits, ["season"], NAMES, "LQ").select("season", "cell_id", F.round("score", 5).alias("score"))
+
+
 def _cross_validated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     b = Bridge(spark, sf_dir)
     cells = b.cells()
@@ -111,7 +124,7 @@ def replay_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.replay_differences(one, two, ["season", "cell_id"], ["visits"])
 
 
-QUERIES = {f.__name__: f for f in (habitat_quality, derive_threat_fits, derive_joint_fits, nested_cv_metrics, oof_archive, nested_tuning, nested_choice, nested_oof_quantiles, cell_coordinates, replay_audit)}
+QUERIES = {f.__name__: f for f in (habitat_quality, derive_threat_fits, derive_joint_fits, nested_cv_metrics, oof_archive, nested_tuning, nested_choice, nested_oof_quantiles, cell_coordinates, replay_audit, maxent_fits, maxent_scores)}
 
 
 def _offsets(name: str, far: float, weight: float, decay: str) -> str:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.operators import ensemble, models, ranking, selection
+from cellweave.operators import ensemble, models, ranking, runs, selection
 from cellweave.plans.queries_scores import r6
 from cellweave.plans.views import with_views
+from cellweave.sinks import shared_dir
 from cellweave.sources.bridge import PREDICTORS, Bridge
 
 KEYS = ["season", "variant", "background", "rm", "fc"]
@@ -28,7 +31,8 @@ def metric_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = Bridge(spark, sf_dir).scored().withColumn("part", F.when(F.col("fold") == 2, "validation").otherwise("fit"))
     auc = ranking.auc(rows, ["season", "part"], "positive", "score").groupBy("season").agg(F.max(F.when(F.col("part") == "fit", F.col("auc"))).alias("fit_auc"), F.max(F.when(F.col("part") == "validation", F.col("auc"))).alias("validation_auc"))
     counts = rows.groupBy("season", "part", "positive", "score").agg(F.count(F.lit(1)).alias("k"))
-    fit = counts.where("part = 'fit' AND positive").groupBy("season").agg(F.percentile("score", 0.1, F.col("k")).alias("threshold_10"), F.min("score").alias("threshold_min"))
+    presences = counts.where("part = 'fit' AND positive")
+    fit = presences.groupBy("season").agg(F.min("score").alias("threshold_min")).join(ranking.group_quantiles(presences, ["season"], "score", {"threshold_10": 0.1}, "k"), "season")
     held = counts.where("part = 'validation' AND positive").join(fit, "season").groupBy("season", "threshold_10", "threshold_min").agg(
         (F.sum(F.when(F.col("score") < F.col("threshold_10"), F.col("k")).otherwise(0)) / F.sum("k")).alias("omission_10"), (F.sum(F.when(F.col("score") < F.col("threshold_min"), F.col("k")).otherwise(0)) / F.sum("k")).alias("omission_min")
     )
@@ -88,7 +92,7 @@ def topk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topdecile_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap of the top tenth of two members by threshold, ties kept."""
     rows = _two_members(Bridge(spark, sf_dir))
-    limits = rows.groupBy("season").agg(F.percentile("a", 0.9).alias("ta"), F.percentile("b", 0.9).alias("tb"))
+    limits = ranking.group_quantiles(rows, ["season"], "a", {"ta": 0.9}).join(ranking.group_quantiles(rows, ["season"], "b", {"tb": 0.9}), "season")
     m = rows.join(limits, "season")
     a, b = F.col("a") >= F.col("ta"), F.col("b") >= F.col("tb")
     return m.groupBy("season").agg(F.count_if(a).alias("n_a"), F.count_if(b).alias("n_b"), r6(F.count_if(a & b) / F.count_if(a | b), "jaccard"))
@@ -99,6 +103,17 @@ def candidate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*KEYS, "inner_folds", *(r6(F.col(c), c) for c in ("mean_auc", "auc_sd", "auc_se", "mean_omission", "mean_complexity", "mean_abs_auc_gap")))
 
 
+def resumed_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidate summary as a run of one scope for each season, begun by one ledger and taken up by another."""
+    folds = Bridge(spark, sf_dir).candidates()
+    folder = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    make = {s: (lambda s=s: selection.candidate_summary(folds.where(F.col("season") == s), KEYS)) for s in ("spring", "summer", "autumn", "winter")}
+    identity = {"inputs": runs.input_identity({"candidates": folds}), "keys": KEYS}
+    runs.Ledger(spark, folder, identity).run({s: make[s] for s in ("spring", "winter")})
+    found = runs.union_of(runs.Ledger(spark, folder, identity).run(make), "scope")
+    return found.select("scope", *KEYS, "inner_folds", *(r6(F.col(c), c) for c in ("mean_auc", "auc_sd", "mean_omission", "mean_complexity")))
+
+
 def _choice(within: list[str], limit: float):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         summary = selection.candidate_summary(Bridge(spark, sf_dir).candidates(), KEYS)
@@ -208,7 +223,7 @@ def class_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    auc_by_fold, omission_by_fold, metric_bundle, spearman_pairs, threat_overlap, predictor_screen, vif_corr_matrix, vif, topk_overlap, topdecile_overlap, candidate_summary, calibration_rank, constraint_audit,
+    auc_by_fold, omission_by_fold, metric_bundle, spearman_pairs, threat_overlap, predictor_screen, vif_corr_matrix, vif, topk_overlap, topdecile_overlap, candidate_summary, resumed_scopes, calibration_rank, constraint_audit,
     paired_variant_metrics, background_pairs, fold_metrics, primary_scope, predictor_jaccard, predictor_frequency, member_quantiles, oof_domain_violations, regression_metrics, logistic_ridge, class_profile,
 )} | {"candidate_choice": _choice(["season"], 0.4), "scheme_winners": _choice(["season", "variant", "background"], 0.35)}
 
@@ -270,6 +285,7 @@ SELECT season, count(*) FILTER (WHERE ra <= k) AS k, count(*) FILTER (WHERE ra <
     "topdecile_overlap": with_views(f"""
 WITH {_TWO}, q AS (SELECT season, quantile_cont(a, 0.9) AS ta, quantile_cont(b, 0.9) AS tb FROM t GROUP BY 1)
 SELECT season, count(*) FILTER (WHERE a >= ta) AS n_a, count(*) FILTER (WHERE b >= tb) AS n_b, round(count(*) FILTER (WHERE a >= ta AND b >= tb) / count(*) FILTER (WHERE a >= ta OR b >= tb), 6) + 0.0::DOUBLE AS jaccard FROM t JOIN q USING (season) GROUP BY 1""", "members"),
+    "resumed_scopes": with_views(f"SELECT season AS scope, season, variant, background, rm, fc, inner_folds, {', '.join(f'round({c}, 6) + 0.0::DOUBLE AS {c}' for c in ('mean_auc', 'auc_sd', 'mean_omission', 'mean_complexity'))} FROM ({_SUMMARY})", "candidates"),
     "candidate_summary": with_views(f"SELECT season, variant, background, rm, fc, inner_folds, {', '.join(f'round({c}, 6) + 0.0::DOUBLE AS {c}' for c in ('mean_auc', 'auc_sd', 'auc_se', 'mean_omission', 'mean_complexity', 'mean_abs_auc_gap'))} FROM ({_SUMMARY})", "candidates"),
     "constraint_audit": with_views("WITH won AS (WITH " + _choice_sql("season, variant", 0.35).strip() + """),
 evidence AS (SELECT season, variant, background, rm, fc, count(*) AS n, count(*) FILTER (WHERE complexity % 7 = 0) AS h, count(*) FILTER (WHERE complexity % 7 = 1) AS u FROM candidates WHERE inner_fold <> 2 OR rm <> 4 GROUP BY ALL),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from cellweave.functions.grid import Grid, block, cell_name
 from cellweave.operators import provenance, sampling, spatial, splits, validate, zonal
 from cellweave.plans.queries_scores import r6
 from cellweave.plans.views import with_views
+from cellweave.sinks import shared_dir
+from cellweave.sources import rasters
 from cellweave.sources.bridge import ORIGIN, PREDICTORS, WIDTH, Bridge
 
 SEASONS = ["spring", "summer", "autumn", "winter"]
@@ -255,7 +260,20 @@ def temporal_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance.temporal_isolation(Bridge(spark, sf_dir).units())
 
 
+def raster_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two layers are written as tiled rasters; the columns from 10 on of one are read back, tile by tile."""
+    b = Bridge(spark, sf_dir)
+    folder = rasters.local_path(f"{shared_dir(spark)}/rasters-{uuid.uuid4().hex}")
+    os.makedirs(folder)
+    cells, grid = b.cells(), b.grid()
+    for name in ("light", "qty"):
+        rasters.write_raster(cells, grid, name, f"{folder}/{name}.tif", "<f8", tile=16)
+    window = rasters.read_rasters(spark, folder).where("layer = 'light' AND col >= 10 AND value IS NOT NULL")
+    return window.select("layer", "row", "col", "x", "y", r6(F.col("value"), "value"))
+
+
 QUERIES = {f.__name__: f for f in (
+    raster_window,
     zonal_stats, class_density, presence_ratio, class_estimability, profile_agreement, confusion_matrix, layer_inventory, layer_alignment, balance_weights, odds_norm, block_counts, cell_identity, grid_sample, fold_counts, crossfit_plan, crossfit_leaks,
     buffer_exclusion, support_coverage, coverage_panel, kde_density, background_uniform, background_weighted, stratified_blocks, latin_hypercube, linked_blocks, split_plan, balanced_assignment,
     resample_bilinear, cell_violations, layer_violations, codes_without_evidence, provenance_leaks, footprint_consistency, role_isolation, temporal_isolation,
@@ -301,6 +319,7 @@ fj AS (SELECT artifact, tr.group_id, tr.sample_id FROM (SELECT DISTINCT group_id
 foot AS (SELECT artifact, 'sample' AS kind, sample_id AS id FROM fj UNION ALL SELECT DISTINCT artifact, 'group', group_id FROM fj WHERE NOT (artifact = 'b4' AND group_id IN ('b2', 'b7')))"""
 
 ORACLE = {
+    "raster_window": with_views(f"SELECT 'light' AS layer, \"row\", col, x, y, {_r('light', 'value')} FROM cells WHERE light IS NOT NULL AND col >= 10", "cells"),
     "zonal_stats": with_views(f"SELECT lucode, count(*) AS n_cells, {', '.join(_r(f'{f}({c})', f'{c}_{n}') for c in LAYERS for f, n in (('avg', 'mean'), ('median', 'median')))} FROM cells WHERE valid GROUP BY 1", "cells"),
     "class_density": with_views(f"SELECT lucode, count(*) AS n_cells, count(p.cell_id) AS n_occupied, {_r('count(p.cell_id) * 1000.0 / (count(*) * 0.01)', 'per_1000_km2')} FROM cells LEFT JOIN (SELECT DISTINCT cell_id FROM presence) p USING (cell_id) WHERE valid GROUP BY 1", "cells", "presence"),
     "class_estimability": with_views(_PROFILES + "SELECT season, lucode, n_presence, n_background, estimable, round(log_odds, 6) + 0.0::DOUBLE AS log_odds FROM profiles", "cells", "presence", "background_b0"),

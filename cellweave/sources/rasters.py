@@ -48,6 +48,11 @@ def _located(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(path))
 
 
+def local_path(uri: str) -> str:
+    """The POSIX path of a path or a file URI."""
+    return "/" + uri.removeprefix("file:").lstrip("/") if uri.startswith("file:") else uri
+
+
 @contextmanager
 def ranged(path: str):
     """A function read(start, size) over a file."""
@@ -274,6 +279,7 @@ def write_raster(cells: DataFrame, grid: Grid, value: str, path: str, dtype: str
     Cells that are missing or not given hold `no_data`; a cell outside the grid is an error.
     `texts` are stored with the file.
     """
+    path = local_path(path)
     if tile % 16:
         raise ValueError("tiles are multiples of 16 cells")
     if os.path.exists(path):
