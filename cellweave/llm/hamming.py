@@ -12,6 +12,8 @@ two fingerprints must agree.  With `radius + 1` disjoint blocks that cover the
 fingerprint, any two within the radius agree on one block, so nothing is lost
 (pigeonhole).  Blocks whose index would exceed `bucket` members are split by
 the same rule over their remaining bits, to any depth; copies are never dropped.
+At a wide radius that rule would copy every row `radius + 1` times a round, so
+there a dense block is compared in pieces (`_pieces`).
 """
 
 from __future__ import annotations
@@ -24,8 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm._base import checkpointed, expand, mixed
+from cellweave.llm.components import components
 
 FANOUT = 8
+#: Blocks that a hot bucket is split by at most; at a wider radius it is compared in pieces.
+SPLITS = 8
 #: Pairs that a search step holds at most, so memory does not follow the bucket's size.
 FRONTIER = 1 << 20
 
@@ -208,6 +213,8 @@ def links(prints: DataFrame, words: int, radius: int, tables: list[list[int]], b
             return found if out is None else out.unionByName(found)
         found = _joined(rows.join(hot, "bucket", "left_anti"), words, radius, max(64, -(-n // group_rows)))
         out = found if out is None else out.unionByName(found)
+        if radius + 1 > SPLITS:
+            return out.unionByName(_pieces(checkpointed(rows.join(hot, "bucket", "left_semi")), words, radius, bucket, group_rows))
         rows, used = _split(rows.join(hot, "bucket", "left_semi"), words, used, radius)
         rows = checkpointed(rows)
         n = rows.count()
@@ -225,3 +232,29 @@ def _joined(rows: DataFrame, words: int, radius: int, groups: int) -> DataFrame:
         return pa.table({"a": pa.array(node[child], pa.int64()), "b": pa.array(node[root], pa.int64())})
 
     return rows.select("bucket", "node", "print").groupBy(F.pmod("bucket", F.lit(groups))).applyInArrow(join, "a long, b long")
+
+
+def _pieces(rows: DataFrame, words: int, radius: int, bucket: int, group_rows: int) -> DataFrame:
+    """Edges that connect the members of buckets larger than `bucket`, with tasks of bounded size.
+
+    A bucket is dealt twice into pieces by different hashes, and each piece gives
+    its forest; as the pieces overlap, a dense group becomes one component.
+    Pairs inside a bucket's largest component are connected then.  The members
+    outside it are dealt into pieces of their own, each of which meets every
+    piece of the bucket, so no link is lost, and rows are copied only as often
+    as there are pieces outside.
+    """
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / bucket).cast("long").alias("pieces"))
+    held = rows.join(sizes, "bucket")
+    twice = held.withColumn("way", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("piece", F.pmod(F.xxhash64("node", "way"), F.col("pieces")))
+    n = rows.count()
+    first = checkpointed(_joined(twice.select(F.xxhash64("bucket", "way", "piece").alias("bucket"), "node", "print"), words, radius, max(64, -(-2 * n // group_rows))))
+    roots = components(first, "a", "b")
+    labelled = checkpointed(held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    counted = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"))
+    main = counted.where(F.col("top.n") < F.col("all")).select("bucket", F.col("top.root").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / bucket).cast("long").alias("others"))
+    dealt = labelled.join(main, "bucket").withColumns({"piece": F.pmod(F.xxhash64("node", F.lit(0)), F.col("pieces")), "other": F.pmod(F.xxhash64("node", F.lit(2)), F.col("others"))})
+    every = dealt.select("bucket", "node", "print", "piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)).alias("other"))
+    outside = dealt.where(F.col("root") != F.col("main")).select("bucket", "node", "print", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), "other")
+    met = every.unionByName(outside).select(F.xxhash64("bucket", "piece", "other").alias("bucket"), "node", "print").distinct()
+    return first.unionByName(_joined(met, words, radius, max(64, -(-n // group_rows))))

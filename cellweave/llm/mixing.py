@@ -168,8 +168,8 @@ def _size(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, doc_id: str = "doc_id", text: str = "text", source: str = "source", moments: dict[str, tuple[Column, float]] | None = None) -> DataFrame:
-    """(id, size, source, source_size, target, rate, copies) for every document.
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, doc_id: str = "doc_id", text: str = "text", source: str = "source", moments: dict[str, tuple[Column, float]] | None = None, digest: bool = False) -> DataFrame:
+    """(id, size, source, source_size, target, rate, copies) for every document, with the text's MD5 if `digest` is set.
 
     Sources in code point order, null last, take the weights in turn; targets
     share the total size and stop at `most` times the source's own.  `moments`
@@ -177,11 +177,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, do
     it over the mixed tokens.
     """
     extra = moments or {}
+    named = ["digest"] if digest else []
     sized = docs.select(
         F.col(doc_id).cast("long").alias("id"),
         F.col(source).cast("string").alias("source"),
         _size(text).alias("size"),
         *[c.cast("double").alias(n) for n, (c, _) in extra.items()],
+        *[_digest(text).alias(n) for n in named],
     )
     sized = checkpointed(sized)
     totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
@@ -199,35 +201,54 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, do
     spec = docs.sparkSession.createDataFrame(rows, "of string, source_size long, target double, base double, parts long")
     tilt = sum((F.lit(b) * F.col(n) for n, b in beta.items()), F.col("base"))
     # Equal rows are counted first and dealt to the groups by the thousand, so none is hot.
-    equal = sized.groupBy("id", "size", "source", *extra).agg(F.count(F.lit(1)).alias("n"))
+    equal = sized.groupBy("id", "size", "source", *extra, *named).agg(F.count(F.lit(1)).alias("n"))
     lots = equal.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / GROUP))))
     lots = lots.withColumn("n", F.least(F.col("n") - F.col("lot") * GROUP, F.lit(GROUP)))
     rated = lots.join(spec, F.col("source").eqNullSafe(F.col("of"))).select(
         "id", "size", "source", "source_size", "target",
         F.when(F.col("size") > 0, F.exp(F.least(F.col("size") * tilt, F.lit(math.log(most))))).otherwise(0.0).alias("rate"),
-        F.pmod(F.xxhash64("id", "size", "lot"), "parts").alias("part"), "n",
+        F.pmod(F.xxhash64("id", "size", "lot"), "parts").alias("part"), "n", *named,
     )
 
     def give(table):
-        order = table.sort_by([("size", "descending"), ("id", "ascending"), ("rate", "ascending")])
+        order = table.sort_by([("size", "descending"), ("id", "ascending"), ("rate", "ascending"), *((n, "ascending") for n in named)])
         order = order.take(pa.array(np.repeat(np.arange(len(order)), order.column("n").to_numpy())))
         copies = round_to_copies(order.column("size").to_numpy(), order.column("rate").to_numpy(), most)
         return order.drop_columns(["part", "n"]).append_column("copies", pa.array(copies))
 
-    return rated.groupBy(F.col("source"), F.col("part")).applyInArrow(give, "id long, size long, source string, source_size long, target double, rate double, copies long")
+    return rated.groupBy(F.col("source"), F.col("part")).applyInArrow(give, "id long, size long, source string, source_size long, target double, rate double, " + "".join(f"{n} string, " for n in named) + "copies long")
 
 
-def materialise(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _digest(text: str) -> Column:
+    return F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))
+
+
+def materialise(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mixed corpus: each document as often as it is taken, with its own columns only.
 
-    Rows are matched by id and size (null matches null); rows that agree in both
-    share their copies evenly, the first in order of text taking one that is left.
+    `mixed` is the answer of `mix` with `digest`.  Rows are matched by id, text
+    and source (null matches null).  Rows that agree in all three share their
+    copies evenly; the first of them, in order of partition, take one that is left.
     """
     names = docs.columns
-    taken = mixed.groupBy(F.col("id").alias("__mix_id"), F.col("size").alias("__mix_size")).agg(F.sum("copies").alias("__mix_copies"), F.count(F.lit(1)).alias("__mix_rows")).where("__mix_copies > 0")
-    keyed = docs.withColumns({"__id": F.col(doc_id).cast("long"), "__size": _size(text)})
-    joined = keyed.join(taken, F.col("__id").eqNullSafe(F.col("__mix_id")) & (F.col("__size") == F.col("__mix_size")))
-    order = Window.partitionBy("__mix_id", "__mix_size").orderBy(F.col(text))
-    share = F.floor(F.col("__mix_copies") / F.col("__mix_rows")) + (F.row_number().over(order) <= F.col("__mix_copies") % F.col("__mix_rows")).cast("long")
-    counted = joined.withColumn("__mix_share", share).where("__mix_share > 0")
-    return counted.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), "__mix_share"))).select(*names)
+    key = ["__id", "__digest", "__source"]
+    taken = mixed.groupBy(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("source").alias("__source")).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")).where("__copies > 0")
+    keyed = docs.withColumns({"__id": F.col(doc_id).cast("long"), "__digest": _digest(text), "__source": F.col(source).cast("string")})
+
+    def matched(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        renamed = right.withColumnsRenamed({k: f"{k}_of" for k in on})
+        same = [F.col(k).eqNullSafe(F.col(f"{k}_of")) for k in on]
+        return left.join(renamed, same).drop(*(f"{k}_of" for k in on))
+
+    joined = matched(keyed, taken, key)
+    once = joined.where("__rows = 1").withColumn("__share", F.col("__copies"))
+    # Equal rows are numbered inside their partitions, whose counts give each partition's first number.
+    often = checkpointed(joined.where("__rows > 1").withColumn("__at", F.monotonically_increasing_id())).withColumn("__part", F.shiftrightunsigned("__at", 33))
+    counts = often.groupBy(*key, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*key, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    place = F.col("__start") + F.row_number().over(Window.partitionBy(*key, "__part").orderBy("__at"))
+    numbered = matched(often, starts, [*key, "__part"]).withColumn("__place", place)
+    shared = numbered.withColumn("__share", F.floor(F.col("__copies") / F.col("__rows")) + (F.col("__place") <= F.col("__copies") % F.col("__rows")).cast("long"))
+    every = once.select(*names, "__share").unionByName(shared.select(*names, "__share")).where("__share > 0")
+    return every.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__share").cast("long")))).select(*names)

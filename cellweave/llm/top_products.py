@@ -17,7 +17,8 @@ Defined results: vectors that are null, or hold a null or a non-finite
 component, take no part; a shorter vector counts as padded with zeros; an empty
 vector has score 0 with all; scores beyond 64 bits are held at the limit; ties
 go to the smaller id, null ids last; a candidate with the query's id is its own
-and left out, equal query rows are answered once; an empty table gives an empty
+and left out; each query row is answered by itself, so two vectors with one id give
+two answers under it, and equal rows (id and vector) one; an empty table gives an empty
 result; further columns are not read.
 """
 
@@ -156,6 +157,7 @@ def top_products(vectors: DataFrame, k: int = 5, vec_id: str = "vec_id", embeddi
         first = Search(ids, queries, rotation, head, floor, k)
         first.run(seed_ids, seed_null, sample)
         shared = spark.sparkContext.broadcast((ids, queries, rotation, head, first.floor))
+        number = len(parts)
 
         def scan(batches):
             held_ids, held_null, bodies = [], [], []
@@ -168,9 +170,9 @@ def top_products(vectors: DataFrame, k: int = 5, vec_id: str = "vec_id", embeddi
                 return
             q_ids, q, turn, front, low = shared.value
             query, ident, null, score = Search(q_ids, q, turn, front, low, k).run(np.concatenate(held_ids), np.concatenate(held_null), matrix(bodies, width))
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids[query]), pa.array(ident, mask=null), pa.array(score)], names=["query_id", "id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(query + (number << 32)), pa.array(q_ids[query]), pa.array(ident, mask=null), pa.array(score)], names=["query", "query_id", "id", "score"])
 
-        return rows.mapInArrow(scan, "query_id long, id long, score long")
+        return rows.mapInArrow(scan, "query long, query_id long, id long, score long")
 
     parts, ids, bodies = [], [], []
 
@@ -191,7 +193,7 @@ def top_products(vectors: DataFrame, k: int = 5, vec_id: str = "vec_id", embeddi
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("id"))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("id"))
     return found.select("query_id", F.row_number().over(order).cast("int").alias("rank"), "id", "score").where(F.col("rank") <= k)
 
 

@@ -47,7 +47,7 @@ def test_mix_meets_targets_and_reruns_agree(spark):
     key = lambda rows: sorted((str(r.id), r.size, r.copies) for r in rows)
     assert key(got) == key(mix(docs.repartition(7)).collect())
     assert mix(docs.limit(0)).count() == 0
-    mixed = mix(docs)
+    mixed = mix(docs, digest=True)
     out = materialise(docs, mixed)
     assert out.columns == docs.columns and out.count() == mixed.agg(F.sum("copies")).first()[0]
 
@@ -98,3 +98,17 @@ def test_equal_rows_are_dealt_to_many_groups(spark, monkeypatch):
     for s in "ab":
         assert sum(r.copies * r.size for r in got if r.source == s) == pytest.approx(next(r.target for r in got if r.source == s), rel=0.05)
     assert sorted(map(str, got)) == sorted(map(str, mix(docs.repartition(5)).collect()))
+
+
+def test_materialised_words_are_the_words_that_were_asked(spark):
+    """Ids that repeat over sources, texts and rows, and many rows without an id."""
+    rng = np.random.default_rng(4)
+    rows = [(int(rng.integers(0, 40)), "w " * int(rng.integers(1, 9)), "ab"[int(rng.integers(0, 9)) > 0], i) for i in range(400)]
+    rows += [(None, "x y z", "a", i) for i in range(150)] + [(None, f"x y {i}", "b", i) for i in range(150)] + [(None, "x y z", None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int").repartition(5)
+    mixed = mix(docs, digest=True)
+    words = F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")
+    asked = {r.source: r.n for r in mixed.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("n")).collect() if r.n}
+    made = materialise(docs, mixed)
+    assert {r.source: r.n for r in made.groupBy("source").agg(words).collect()} == asked
+    assert made.groupBy("doc_id", "text", "source", "copies").count().agg(F.max("count")).first()[0] <= 3

@@ -10,7 +10,7 @@ def brute(rows, k, query):
     ok = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for q in {i for i, _ in ok if i is not None and query(i)}:
-        for vec in [v for i, v in ok if i == q][:1]:
+        for vec in {tuple(v) for i, v in ok if i == q}:
             scored = [(-sum(a * b for a, b in zip(vec, v)), i is None, i or 0) for i, v in ok if i != q]
             out += [(q, r + 1, None if n else i, -s) for r, (s, n, i) in enumerate(sorted(scored)[:k])]
     return sorted(out, key=str)
@@ -30,7 +30,7 @@ def test_against_brute_force(spark, monkeypatch):
     base = rng.normal(size=(300, 8)) @ np.diag([5, 3, 1, 1, 0.5, 0.2, 0.1, 0.1])
     rows = [(i, v.tolist()) for i, v in enumerate(base)]
     rows += [(1000 + i, [0.5] * 8) for i in range(80)]
-    rows += [(2000, None), (2005, [1.0, None] + [0.0] * 6), (2010, [math.nan] * 8), (2015, [math.inf] * 8), (2020, []), (2025, [1.0]), (None, [0.5] * 8), (2030, [0.0] * 8)]
+    rows += [(2000, None), (2005, [1.0, None] + [0.0] * 6), (2010, [math.nan] * 8), (2015, [math.inf] * 8), (2020, []), (2025, [1.0]), (None, [0.5] * 8), (2030, [0.0] * 8), (10, [-1.0] * 8), (10, [0.25] * 8), (10, [0.25] * 8)]
     check(spark, rows)
 
 

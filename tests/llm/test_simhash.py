@@ -157,3 +157,39 @@ def test_rows_that_share_an_id_or_have_none(spark):
     got = sorted(((r.doc_id, r.text.split("w")[0]) for r in kept.collect()), key=str)
     assert got == sorted([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (3, "e")], key=str)
     assert drop_near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_dense_buckets_of_wide_fingerprints_meet_in_pieces(spark, monkeypatch):
+    """Many variants of one template at 256 bits, with stragglers: no link is lost and rows are dealt a bounded number of times."""
+    rng = np.random.default_rng(9)
+    n, radius, limit = 600, 55, 60
+    centre = rng.integers(0, 2, 256)
+    bits = centre ^ (rng.random((n, 256)) < np.where(np.arange(n) % 10 == 0, 0.16, 0.08)[:, None])
+    bits[:, :8] = centre[:8]
+    prints = [np.packbits(b).tobytes() for b in bits.astype(np.uint8)]
+    frame = spark.createDataFrame(list(enumerate(prints)), "node long, print binary")
+    dealt, plain = [], hamming._joined
+    monkeypatch.setattr(hamming, "_joined", lambda rows, *a: dealt.append(rows.count()) or plain(rows, *a))
+    edges = hamming.links(frame, 4, radius, [[56, 57, 58, 59, 60, 61, 62, 63]], bucket=limit)
+    got = {}
+
+    def root(x):
+        while got.setdefault(x, x) != x:
+            x = got[x]
+        return x
+
+    for e in edges.collect():
+        got[root(e.a)] = root(e.b)
+    want = {}
+
+    def find(x):
+        while want.setdefault(x, x) != x:
+            x = want[x]
+        return x
+
+    apart = (bits[:, None, :] != bits[None, :, :]).sum(axis=2)
+    for i, j in zip(*np.nonzero(np.triu(apart <= radius, 1))):
+        want[find(i)] = find(j)
+    groups = [{frozenset(j for j in range(n) if of(j) == r) for r in {of(i) for i in range(n)}} for of in (root, find)]
+    assert groups[0] == groups[1] and len(groups[0]) < n
+    assert sum(dealt) <= 8 * n
