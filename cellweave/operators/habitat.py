@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.operators import convolve
+
 #: The exponent of the half-saturation term (fixed in the published formula).
 POWER = 2.5
 #: An exponential threat has lost all but a hundredth at its largest distance.
@@ -27,26 +30,33 @@ def decay_offsets(max_dist: float, decay: str, cell: float) -> list[tuple[int, i
     return out
 
 
+def decay_kernel(max_dist: float, decay: str, cell: float) -> np.ndarray:
+    """The offsets' shares as a square, adding up to one."""
+    offsets = decay_offsets(max_dist, decay, cell)
+    reach = int(max_dist // cell)
+    out = np.zeros((2 * reach + 1,) * 2)
+    for r, c, s in offsets:
+        out[r + reach, c + reach] = s
+    return out / out.sum()
+
+
 def degradation(cells: DataFrame, threats: list[tuple[str, float, float, str]], sensitivity: DataFrame, cell: float = 100.0) -> DataFrame:
     """(row, col, lucode, degradation): decayed threats, weighted, times the class's sensitivity.
 
-    `threats` are (layer, largest distance, weight, decay); a source cell spreads
-    over the offsets of its reach only, whatever the grid's size.
+    `threats` are (layer, largest distance, weight, decay).  Tiles with halos are
+    convolved, so about one row for each cell and threat is shuffled, whatever
+    the distance.
     """
     total = sum(w for _, _, w, _ in threats)
-    spread: DataFrame | None = None
-    for name, far, weight, decay in threats:
-        offsets = decay_offsets(far, decay, cell)
-        scale = sum(s for _, _, s in offsets)
-        kernel = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(s / scale).alias("s")) for r, c, s in offsets))
-        part = cells.where(F.col(name) > 0).select("row", "col", F.col(name).alias("__v"), F.explode(kernel).alias("__k"))
-        part = part.select((F.col("row") + F.col("__k.r")).alias("row"), (F.col("col") + F.col("__k.c")).alias("col"), F.lit(name).alias("threat"), (F.col("__v") * F.col("__k.s") * (weight / total)).alias("load"))
-        spread = part if spread is None else spread.unionByName(part)
-    loads = spread.groupBy("row", "col", "threat").agg(F.sum("load").alias("load"))
-    long = sensitivity.select(F.col("lucode").alias("__code"), F.explode(F.array(*(F.struct(F.lit(n).alias("threat"), F.col(n).alias("sensitivity")) for n, *_ in threats))).alias("s")).select("__code", "s.*")
-    here = cells.select("row", "col", "lucode")
-    joined = here.join(loads, ["row", "col"], "left").join(long.withColumnRenamed("threat", "__threat"), (F.col("lucode") == F.col("__code")) & (F.col("threat") == F.col("__threat")), "left")
-    return joined.groupBy("row", "col", "lucode").agg(F.coalesce(F.sum(F.col("load") * F.col("sensitivity")), F.lit(0.0)).alias("degradation"))
+    kernels = {name: decay_kernel(far, decay, cell) * (weight / total) for name, far, weight, decay in threats}
+    layers = F.explode(F.array(*(F.struct(F.lit(n).alias("layer"), F.col(n).cast("double").alias("value")) for n in kernels)))
+    values = cells.select("row", "col", layers.alias("__at")).select("__at.layer", "row", "col", "__at.value").where("value > 0")
+    at = cells.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "lucode").distinct()
+    loads = convolve.convolved_at(values, kernels, at)
+    known = sensitivity.select(F.col("lucode").alias("__code"), *(F.col(n).alias(f"__s_{n}") for n in kernels))
+    joined = loads.join(known, F.col("lucode") == F.col("__code"), "left")
+    suffered = sum((F.coalesce(F.col(n) * F.col(f"__s_{n}"), F.lit(0.0)) for n in kernels), F.lit(0.0))
+    return joined.select("row", "col", "lucode", suffered.alias("degradation"))
 
 
 def habitat_quality(cells: DataFrame, threats: list[tuple[str, float, float, str]], sensitivity: DataFrame, half: float, cell: float = 100.0) -> DataFrame:
