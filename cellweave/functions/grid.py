@@ -100,10 +100,10 @@ def transverse_sql() -> dict[str, str]:
     }
 
 
-def to_utm(longitude: Column, latitude: Column) -> tuple[Column, Column]:
-    """Easting and northing of a point in degrees, within millimetres inside the zone."""
+def to_utm(longitude: Column, latitude: Column, meridian: float = CENTRAL_MERIDIAN) -> tuple[Column, Column]:
+    """Easting and northing (of the northern half) of a point in degrees, within millimetres inside the zone."""
     root = 2 * math.sqrt(_N) / (1 + _N)
-    phi, lam = F.radians(latitude), F.radians(longitude - CENTRAL_MERIDIAN)
+    phi, lam = F.radians(latitude), F.radians(longitude - meridian)
     t = F.sinh(F.atanh(F.sin(phi)) - root * F.atanh(root * F.sin(phi)))
     xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
     easting = eta + sum(a * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, a in enumerate(_FORWARD, 1))
@@ -111,11 +111,34 @@ def to_utm(longitude: Column, latitude: Column) -> tuple[Column, Column]:
     return FALSE_EASTING + SCALE * _RADIUS * easting, SCALE * _RADIUS * northing
 
 
-def to_degrees(easting: Column, northing: Column) -> tuple[Column, Column]:
+def to_degrees(easting: Column, northing: Column, meridian: float = CENTRAL_MERIDIAN) -> tuple[Column, Column]:
     """Longitude and latitude in degrees of a point in the zone."""
     xi, eta = northing / (SCALE * _RADIUS), (easting - FALSE_EASTING) / (SCALE * _RADIUS)
     x = xi - sum(b * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, b in enumerate(_BACK, 1))
     e = eta - sum(b * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, b in enumerate(_BACK, 1))
     chi = F.asin(F.sin(x) / F.cosh(e))
     latitude = chi + sum(d * F.sin(2 * j * chi) for j, d in enumerate(_LATITUDE, 1))
-    return CENTRAL_MERIDIAN + F.degrees(F.atan2(F.sinh(e), F.cos(x))), F.degrees(latitude)
+    return meridian + F.degrees(F.atan2(F.sinh(e), F.cos(x))), F.degrees(latitude)
+
+
+def zone(epsg: int) -> tuple[float, float]:
+    """(central meridian, false northing) of a universal transverse Mercator zone on WGS 84."""
+    if 32601 <= epsg <= 32660:
+        return (epsg - 32600) * 6.0 - 183.0, 0.0
+    if 32701 <= epsg <= 32760:
+        return (epsg - 32700) * 6.0 - 183.0, 10_000_000.0
+    raise ValueError(f"reference system {epsg} is not supported")
+
+
+def transformed(x: Column, y: Column, source: int, target: int) -> tuple[Column, Column]:
+    """A point of one reference system in another: WGS 84 degrees (4326, x is the longitude) and its Mercator zones."""
+    if source == target:
+        return x, y
+    if source != 4326:
+        meridian, false = zone(source)
+        x, y = to_degrees(x, y - false, meridian)
+    if target == 4326:
+        return x, y
+    meridian, false = zone(target)
+    easting, northing = to_utm(x, y, meridian)
+    return easting, northing + false

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.functions.grid import Grid, block, cell_name
+from cellweave.functions.grid import Grid, block, cell_name, transverse_sql
 from cellweave.operators import provenance, sampling, spatial, splits, validate, zonal
 from cellweave.plans.queries_scores import r6
 from cellweave.plans.views import with_views
@@ -212,6 +212,18 @@ def resample_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.resample(b.cells(), source, target, "light").select("row", "col", r6(F.col("light"), "light"))
 
 
+def warp_to_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The light layer on a grid of thousandths of a degree."""
+    b = Bridge(spark, sf_dir)
+    source = b.grid()
+    target = Grid(70, source.height + 20, *DEGREES, 0.001, 4326)
+    return spatial.warp(b.cells(), source, target, "light").where("light IS NOT NULL").select("row", "col", r6(F.col("light"), "light"))
+
+
+#: North-west corner of the grid of `warp_to_degrees`.
+DEGREES = (112.63, 34.97)
+
+
 def cell_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules of a cell table with planted faults: invalid cells, a shifted centre, repeated rows."""
     b = Bridge(spark, sf_dir)
@@ -276,7 +288,7 @@ QUERIES = {f.__name__: f for f in (
     raster_window,
     zonal_stats, class_density, presence_ratio, class_estimability, profile_agreement, confusion_matrix, layer_inventory, layer_alignment, balance_weights, odds_norm, block_counts, cell_identity, grid_sample, fold_counts, crossfit_plan, crossfit_leaks,
     buffer_exclusion, support_coverage, coverage_panel, kde_density, background_uniform, background_weighted, stratified_blocks, latin_hypercube, linked_blocks, split_plan, balanced_assignment,
-    resample_bilinear, cell_violations, layer_violations, codes_without_evidence, provenance_leaks, footprint_consistency, role_isolation, temporal_isolation,
+    resample_bilinear, warp_to_degrees, cell_violations, layer_violations, codes_without_evidence, provenance_leaks, footprint_consistency, role_isolation, temporal_isolation,
 )}
 
 
@@ -318,7 +330,20 @@ tr AS (SELECT sample_id, group_id FROM units WHERE role = 'train'),
 fj AS (SELECT artifact, tr.group_id, tr.sample_id FROM (SELECT DISTINCT group_id AS artifact FROM units) a JOIN tr ON artifact <> group_id OR artifact = 'b3'),
 foot AS (SELECT artifact, 'sample' AS kind, sample_id AS id FROM fj UNION ALL SELECT DISTINCT artifact, 'group', group_id FROM fj WHERE NOT (artifact = 'b4' AND group_id IN ('b2', 'b7')))"""
 
+def _warped() -> str:
+    k = transverse_sql()
+    return f"""
+WITH z AS (SELECT max("row") + 1 AS h FROM cells), g AS (SELECT r, c, radians({DEGREES[0]!r}::DOUBLE + (c + 0.5::DOUBLE) * 0.001::DOUBLE - {k["meridian"]}) AS lam, radians({DEGREES[1]!r}::DOUBLE - (r + 0.5::DOUBLE) * 0.001::DOUBLE) AS phi
+  FROM (SELECT unnest(range((SELECT h + 20 FROM z)))::BIGINT AS r), (SELECT unnest(range(70))::BIGINT AS c)),
+t AS (SELECT r, c, lam, sinh(atanh(sin(phi)) - {k["root"]} * atanh({k["root"]} * sin(phi))) AS t FROM g),
+x AS (SELECT r, c, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM t),
+m AS (SELECT r, c, ({k["shift"]} + {k["unit"]} * (eta + {k["easting"]}) - 650000.0::DOUBLE) / 100.0::DOUBLE - 0.5::DOUBLE AS a, (3870000.0::DOUBLE - {k["unit"]} * (xi + {k["northing"]})) / 100.0::DOUBLE - 0.5::DOUBLE AS d FROM x),
+n AS (SELECT r, c, floor(d)::BIGINT + i AS sr, floor(a)::BIGINT + j AS sc, CASE i WHEN 1 THEN d - floor(d) ELSE 1 - (d - floor(d)) END * CASE j WHEN 1 THEN a - floor(a) ELSE 1 - (a - floor(a)) END AS w FROM m, (VALUES (0), (1)) p(i), (VALUES (0), (1)) q(j))
+SELECT r AS "row", c AS col, {_r("sum(w * light) / sum(w)", "light")} FROM n JOIN cells ON "row" = sr AND col = sc WHERE w > 0 AND light IS NOT NULL GROUP BY r, c"""
+
+
 ORACLE = {
+    "warp_to_degrees": with_views(_warped(), "cells"),
     "raster_window": with_views(f"SELECT 'light' AS layer, \"row\", col, x, y, {_r('light', 'value')} FROM cells WHERE light IS NOT NULL AND col >= 10", "cells"),
     "zonal_stats": with_views(f"SELECT lucode, count(*) AS n_cells, {', '.join(_r(f'{f}({c})', f'{c}_{n}') for c in LAYERS for f, n in (('avg', 'mean'), ('median', 'median')))} FROM cells WHERE valid GROUP BY 1", "cells"),
     "class_density": with_views(f"SELECT lucode, count(*) AS n_cells, count(p.cell_id) AS n_occupied, {_r('count(p.cell_id) * 1000.0 / (count(*) * 0.01)', 'per_1000_km2')} FROM cells LEFT JOIN (SELECT DISTINCT cell_id FROM presence) p USING (cell_id) WHERE valid GROUP BY 1", "cells", "presence"),
