@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.functions.grid import Grid, block, cell_name, transverse_sql
-from cellweave.operators import provenance, sampling, spatial, splits, validate, zonal
+from cellweave.operators import merkle, provenance, sampling, spatial, splits, validate, zonal
 from cellweave.plans.queries_scores import r6
 from cellweave.plans.views import with_views
 from cellweave.sinks import shared_dir
@@ -224,6 +224,13 @@ def warp_to_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 DEGREES = (112.63, 34.97)
 
 
+def table_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells removed, added and changed from one state of the table to another, by digest trees."""
+    cells = Bridge(spark, sf_dir).cells().select("cell_id", "size", "price", "light")
+    after = cells.where("cell_id % 101 <> 3").withColumn("size", F.when(F.col("cell_id") % 97 == 5, F.col("size") + 1.0).otherwise(F.col("size")))
+    return merkle.differences(cells.where("cell_id % 89 <> 7"), after, ["cell_id"])
+
+
 def cell_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules of a cell table with planted faults: invalid cells, a shifted centre, repeated rows."""
     b = Bridge(spark, sf_dir)
@@ -288,7 +295,7 @@ QUERIES = {f.__name__: f for f in (
     raster_window,
     zonal_stats, class_density, presence_ratio, class_estimability, profile_agreement, confusion_matrix, layer_inventory, layer_alignment, balance_weights, odds_norm, block_counts, cell_identity, grid_sample, fold_counts, crossfit_plan, crossfit_leaks,
     buffer_exclusion, support_coverage, coverage_panel, kde_density, background_uniform, background_weighted, stratified_blocks, latin_hypercube, linked_blocks, split_plan, balanced_assignment,
-    resample_bilinear, warp_to_degrees, cell_violations, layer_violations, codes_without_evidence, provenance_leaks, footprint_consistency, role_isolation, temporal_isolation,
+    resample_bilinear, warp_to_degrees, table_differences, cell_violations, layer_violations, codes_without_evidence, provenance_leaks, footprint_consistency, role_isolation, temporal_isolation,
 )}
 
 
@@ -343,6 +350,9 @@ SELECT r AS "row", c AS col, {_r("sum(w * light) / sum(w)", "light")} FROM n JOI
 
 
 ORACLE = {
+    "table_differences": with_views("""
+WITH s AS (SELECT cell_id, cell_id % 89 <> 7 AS a, cell_id % 101 <> 3 AS b, cell_id % 97 = 5 AS moved FROM cells)
+SELECT cell_id, CASE WHEN NOT b THEN 'removed' WHEN NOT a THEN 'added' ELSE 'changed' END AS kind FROM s WHERE (a OR b) AND (a <> b OR moved)""", "cells"),
     "warp_to_degrees": with_views(_warped(), "cells"),
     "raster_window": with_views(f"SELECT 'light' AS layer, \"row\", col, x, y, {_r('light', 'value')} FROM cells WHERE light IS NOT NULL AND col >= 10", "cells"),
     "zonal_stats": with_views(f"SELECT lucode, count(*) AS n_cells, {', '.join(_r(f'{f}({c})', f'{c}_{n}') for c in LAYERS for f, n in (('avg', 'mean'), ('median', 'median')))} FROM cells WHERE valid GROUP BY 1", "cells"),
