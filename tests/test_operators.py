@@ -380,3 +380,31 @@ def test_constraint_audit_finds_wrong_flags_and_missing_folds(spark):
     found = selection.constraint_audit(winners, evidence, ["season"], ["season", "background"], 0.2)
     got = {r.season: (r.n_evidence, r.n_hit_limit, r.n_converged, r.n_unknown, r.flag_consistent, r.evidence_complete) for r in found.collect()}
     assert got == {"a": (2, 1, 1, 0, True, True), "b": (0, 0, 0, 0, False, False), "c": (1, 0, 0, 1, True, False)}
+
+
+def test_gate_reads_its_rows_once_and_counts_equal_ones(spark):
+    rng = np.random.default_rng(3)
+    rows = [(*map(float, rng.random(4)), 0.0, 1.0, True, "validation" if i % 4 == 0 else "train", float(rng.random()), None if i % 3 else float(rng.random())) for i in range(60)]
+    kinds = "m double, h double, u_m double, u_h double, season_sin double, season_cos double, eligible boolean, role string, target_protection double, target_restoration double"
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    once = spark.createDataFrame(rows, kinds)
+    frame = once.union(once).union(once).mapInArrow(watched, kinds)
+    spread = models.train_gate(frame, {"epochs": 3, "seed": 5}, driver_rows=1)
+    assert seen.value == 180
+    local, single = models.train_gate(frame, {"epochs": 3, "seed": 5}), models.train_gate(once, {"epochs": 3, "seed": 5})
+    for k, v in spread.parameters.items():
+        assert np.allclose(v, local.parameters[k], atol=1e-6) and np.allclose(v, single.parameters[k], atol=1e-6)
+    assert [h["validation_mse"] for h in spread.history] == pytest.approx([h["validation_mse"] for h in single.history])
+
+
+def test_normal_distribution_by_table():
+    x = np.r_[np.linspace(-12, 12, 20_011), 1 / 2048, -0.0]
+    cdf, density = models._normal(x)
+    want = np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in x])
+    assert np.abs(cdf - want).max() < 1e-15 and np.abs(density - np.exp(-0.5 * x * x) / math.sqrt(2 * math.pi)).max() < 1e-15
