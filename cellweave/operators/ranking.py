@@ -69,9 +69,9 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def average_ranks(rows: DataFrame, groups: list[str], value: str, name: str) -> DataFrame:
-    """(groups, value, name): each distinct value's rank, ties at their average."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("__n"))
+def average_ranks(rows: DataFrame, groups: list[str], value: str, name: str, weight: str | None = None) -> DataFrame:
+    """(groups, value, name): each distinct value's rank, ties at their average; a row may stand for `weight` rows."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*groups, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("__n"))
     ranked = below(counts, groups, value, ["__n"])
     return ranked.select(*groups, value, (F.col("__n_below") + (F.col("__n") + 1) / 2.0).alias(name))
 
@@ -97,10 +97,14 @@ def correlation(rows: DataFrame, groups: list[str], a: str, b: str) -> DataFrame
 
 
 def spearman(rows: DataFrame, groups: list[str], a: str, b: str) -> DataFrame:
-    """(groups, n, spearman) over pairwise complete rows, with average tied ranks."""
+    """(groups, n, spearman) over pairwise complete rows, with average tied ranks.
+
+    Pairs are counted into a checkpoint that both ranks are taken from: a value
+    computed anew (a mean whose order of summation changes) would miss its rank.
+    """
     pairs = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*groups, F.col(a).alias("__x"), F.col(b).alias("__y"))
-    cells = pairs.groupBy(*groups, "__x", "__y").agg(F.count(F.lit(1)).alias("__k"))
-    rx, ry = average_ranks(pairs, groups, "__x", "__rx"), average_ranks(pairs, groups, "__y", "__ry")
+    cells = checkpointed(pairs.groupBy(*groups, "__x", "__y").agg(F.count(F.lit(1)).alias("__k")))
+    rx, ry = average_ranks(cells, groups, "__x", "__rx", "__k"), average_ranks(cells, groups, "__y", "__ry", "__k")
     joined = cells
     for ranks, key in ((rx, "__x"), (ry, "__y")):
         joined = match(joined, ranks, [*groups, key])

@@ -408,3 +408,20 @@ def test_normal_distribution_by_table():
     cdf, density = models._normal(x)
     want = np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in x])
     assert np.abs(cdf - want).max() < 1e-15 and np.abs(density - np.exp(-0.5 * x * x) / math.sqrt(2 * math.pi)).max() < 1e-15
+
+
+def _drifting(spark, columns: str):
+    """1,000 rows whose values are other ones each time they are computed."""
+    def draw(i):
+        import random
+
+        return i + random.random() / 2
+
+    fresh = F.udf(draw, "double").asNondeterministic()
+    values = [fresh("id").alias(c) for c in columns]
+    return spark.range(1000).select("id", *values)
+
+
+def test_spearman_takes_ranks_from_the_rows_it_counts(spark):
+    got = ranking.spearman(_drifting(spark, "ab"), [], "a", "b").first()
+    assert got.n == 1000 and got.spearman == pytest.approx(1.0)
