@@ -9,6 +9,7 @@ from cellweave.functions import scores
 from cellweave.functions.keys import seed_for
 from cellweave.operators import ensemble, models, validate, zonal
 from cellweave.plans.views import with_views
+from cellweave.sinks import checkpointed
 from cellweave.sources.bridge import Bridge
 
 
@@ -134,7 +135,8 @@ def paired_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def constant_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fitted control weights; the geometric ones by search, in hundredths."""
-    t = Bridge(spark, sf_dir).targets().where("role = 'train'").withColumn("low", 1.0 - U.h)
+    t = Bridge(spark, sf_dir).targets().where("role = 'train'").select("target_protection", "target_restoration", "m", "h", (1.0 - U.h).alias("low"))
+    t = checkpointed(t)  # each round of the search reads these rows
     rows = [(target, method, round(models.constant_weight(t, target, "m", factor, method), 2)) for target, factor in (("target_protection", "h"), ("target_restoration", "low")) for method in ("linear", "geometric")]
     return spark.createDataFrame(rows, "target string, method string, weight double")
 
