@@ -30,6 +30,36 @@ def footprint_consistency(samples: DataFrame, footprints: DataFrame) -> DataFram
     return joined.groupBy("artifact").agg(F.count_if(F.col("group_id").isNull()).alias("n_unknown_samples"), F.count_distinct(F.when(F.col("group_id").isNotNull() & F.col("__d").isNull(), F.col("group_id"))).alias("n_groups_not_declared"))
 
 
+def _classes(members: DataFrame) -> DataFrame:
+    """(sample_id, __class): the members that hold each sample, sorted; a plan's members are few."""
+    return members.where("sample_id IS NOT NULL AND member IS NOT NULL").groupBy("sample_id").agg(F.array_sort(F.collect_set("member")).alias("__class"))
+
+
+def leaks_by_member(samples: DataFrame, plan: DataFrame, members: DataFrame, declared: DataFrame) -> DataFrame:
+    """As `leaks`, for artifacts that share their samples.
+
+    `plan` (artifact, member) says which members each artifact was fitted on,
+    `members` (member, sample_id) what they hold, `declared` (artifact, group_id)
+    the group footprints.  A sample is listed once for each member and not for
+    each artifact; only counts meet the plan.
+    """
+    held = samples.select("artifact", "sample_id").join(_classes(members), "sample_id").groupBy("artifact", "__class").agg(F.count(F.lit(1)).alias("n"))
+    inside = plan.groupBy("artifact").agg(F.collect_set("member").alias("__plan"))
+    alone = held.join(F.broadcast(inside), "artifact").where(F.arrays_overlap("__class", "__plan")).groupBy("artifact").agg(F.sum("n").alias("n_leaks"))
+    groups = samples.groupBy("artifact", "group_id").agg(F.count(F.lit(1)).alias("n")).join(declared.distinct(), ["artifact", "group_id"], "left_semi").groupBy("artifact").agg(F.sum("n").alias("n_leaks"))
+    return alone.select("artifact", F.lit("sample").alias("kind"), "n_leaks").unionByName(groups.select("artifact", F.lit("group").alias("kind"), "n_leaks"))
+
+
+def consistency_by_member(samples: DataFrame, plan: DataFrame, members: DataFrame, declared: DataFrame) -> DataFrame:
+    """As `footprint_consistency`, for footprints as in `leaks_by_member`."""
+    known = _classes(members).join(samples.select("sample_id", "group_id"), "sample_id", "left").groupBy("__class", "group_id").agg(F.count(F.lit(1)).alias("n"))
+    inside = plan.groupBy("artifact").agg(F.collect_set("member").alias("__plan"))
+    mine = known.join(F.broadcast(inside), F.arrays_overlap("__class", "__plan")).groupBy("artifact", "group_id").agg(F.sum("n").alias("n"))
+    joined = mine.join(declared.distinct().withColumn("__d", F.lit(1)), ["artifact", "group_id"], "left")
+    unknown = F.coalesce(F.sum(F.when(F.col("group_id").isNull(), F.col("n"))), F.lit(0))
+    return joined.groupBy("artifact").agg(unknown.alias("n_unknown_samples"), F.count_if(F.col("group_id").isNotNull() & F.col("__d").isNull()).alias("n_groups_not_declared"))
+
+
 def role_overlap(samples: DataFrame, keys: list[str]) -> DataFrame:
     """(key, n_shared): values of each key that occur in more than one role."""
     out = None
