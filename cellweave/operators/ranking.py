@@ -165,7 +165,9 @@ def top_share(rows: DataFrame, groups: list[str], score: str, tiebreak: str, sha
     number that differs within a group.  A group's cut is one
     score; only rows with that score are ranked by the tiebreak, by counting
     again, so a score that half of the rows share is sorted in no single task.
+    The rows are read three times, from a checkpoint: scores must be the same each time.
     """
+    rows = checkpointed(rows)
     counts = rows.where(F.col(score).isNotNull()).groupBy(*groups, score).agg(F.count(F.lit(1)).alias("__n")).withColumn("__down", -F.col(score))
     ranked = below(counts, groups, "__down", ["__n"])
     totals = counts.groupBy(*groups).agg(F.greatest(F.lit(1), F.ceil(F.sum("__n") * share)).alias("__k"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cellweave.operators import ensemble, models, ranking, runs, selection
 from cellweave.plans.queries_scores import r6
 from cellweave.plans.views import with_views
-from cellweave.sinks import shared_dir
+from cellweave.sinks import checkpointed, shared_dir
 from cellweave.sources.bridge import PREDICTORS, Bridge
 
 KEYS = ["season", "variant", "background", "rm", "fc"]
@@ -83,7 +83,7 @@ def _two_members(b: Bridge) -> DataFrame:
 
 def topk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap of the top tenth of two members, ties cut in cell order."""
-    rows = _two_members(Bridge(spark, sf_dir))
+    rows = checkpointed(_two_members(Bridge(spark, sf_dir)))
     marked = ranking.top_share(ranking.top_share(rows, ["season"], "a", "cell_id", 0.1, "in_a"), ["season"], "b", "cell_id", 0.1, "in_b")
     both, one = F.count_if(F.col("in_a") & F.col("in_b")), F.count_if(F.col("in_a") | F.col("in_b"))
     return marked.groupBy("season").agg(F.count_if("in_a").alias("k"), both.alias("n_both"), r6(both / one, "jaccard"))

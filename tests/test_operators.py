@@ -425,3 +425,49 @@ def _drifting(spark, columns: str):
 def test_spearman_takes_ranks_from_the_rows_it_counts(spark):
     got = ranking.spearman(_drifting(spark, "ab"), [], "a", "b").first()
     assert got.n == 1000 and got.spearman == pytest.approx(1.0)
+
+
+def test_top_share_marks_the_rows_it_counted(spark):
+    got = ranking.top_share(_drifting(spark, "a"), [], "a", "id", 0.1, "inside").where("inside")
+    assert sorted(r.id for r in got.collect()) == list(range(900, 1000))
+
+
+def test_footprints_by_member_equal_the_listed_ones(spark):
+    from cellweave.operators import provenance
+
+    rng = np.random.default_rng(8)
+    held = [(f"m{rng.integers(4)}", f"s{rng.integers(60)}") for _ in range(90)]
+    plan = [(f"a{i}", f"m{j}") for i in range(4) for j in range(4) if (i + j) % 3]
+    groups = [(f"a{i}", f"g{j}") for i in range(4) for j in range(5) if (i * j) % 3 == 0]
+    asked = [(f"s{i}", f"g{i % 6}" if i % 11 else None, f"a{i % 5}") for i in range(0, 60, 2)] + [("s4", "g1", "a4"), ("s4", "g2", "a1")]
+    samples = spark.createDataFrame(asked, "sample_id string, group_id string, artifact string")
+    parts = [spark.createDataFrame(plan, "artifact string, member string"), spark.createDataFrame(held, "member string, sample_id string"), spark.createDataFrame(groups, "artifact string, group_id string")]
+    listed = {(a, "fit", "sample", s) for a, m in plan for n, s in held if m == n} | {(a, "fit", "group", g) for a, g in groups}
+    footprints = spark.createDataFrame(sorted(listed), "artifact string, stage string, kind string, id string")
+    same = lambda a, b: sorted(map(str, a.select(*b.columns).collect())) == sorted(map(str, b.collect()))
+    assert same(provenance.leaks_by_member(samples, *parts), provenance.leaks(samples, footprints))
+    assert same(provenance.consistency_by_member(samples, *parts), provenance.footprint_consistency(samples, footprints))
+
+
+@pytest.mark.parametrize("name, view", [("constant_weights", "targets"), ("footprint_consistency", "units"), ("provenance_leaks", "units"), ("topk_overlap", "members")])
+def test_queries_compute_their_view_once(spark, monkeypatch, name, view):
+    from cellweave.plans.registry import QUERIES
+    from cellweave.sources.bridge import Bridge
+
+    seen, made = spark.sparkContext.accumulator(0), getattr(Bridge, view)
+
+    def watched(self):
+        rows = made(self)
+
+        def run(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return rows.mapInArrow(run, rows.schema)
+
+    sf = "/root/testdata/sf0.001"
+    n = made(Bridge(spark, sf)).count()
+    monkeypatch.setattr(Bridge, view, watched)
+    QUERIES[name](spark, sf).collect()
+    assert 0 < seen.value <= n
